@@ -1,26 +1,52 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Every stage but the last returns the columns of documents and nothing else. Nulls: a null text fails the
+quality rules; a null doc_id is a document like any other and sorts after all others; repeated rows
+are judged alike and, as copies with one id, end as one document; an empty table passes through.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scanlake.llm.common import scratch_path, table
+from scanlake.llm.linededup import dedup_lines
 from scanlake.llm.packing import pack
+from scanlake.llm.pii import redact
+from scanlake.llm.quality import judge
 from scanlake.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 1: documents that the quality rules reject go."""
+    return judge(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 2: lines that repeat an earlier line go; a document left without any word goes."""
+    found = dedup_lines(docs.select(*COLUMNS)).filter("text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 3: of each SimHash component the document with the smallest id stays.
+    """Stage 3: of each SimHash component one document stays, the one with the smallest id.
 
-    Rows that repeat that id all stay, as do rows of a component without any id.
+    Rows that repeat that id are cut down to one. Rows without an id can't be named as a group's document;
+    they all stay.
     """
     docs = docs.select(*COLUMNS)
-    kept = near_duplicates(docs).filter("component_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.filter("doc_id IS NULL"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 4: personal data in the texts is replaced by its kind."""
+    return redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +55,14 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("line_dedup", line_dedup),
     ("simhash_near_dedup", near_dups),
+    ("pii", pii),
     ("packing", packing),
 ]
 
-#: A stage that SQL can't express is among them; the tests hold each stage against a brute-force version.
+#: Fingerprints, learnt spans and tokens can't be expressed in SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -80,3 +80,13 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 def id_order(column: str) -> "F.Column":
     """Sorts ids upwards and rows without an id last; comparable inside a struct."""
     return F.struct(F.col(column).isNull().alias("missing"), F.col(column).alias("id"))
+
+
+def pinned(df: DataFrame, columns: dict[str, "F.Column"], keep: list[str]) -> DataFrame:
+    """``keep`` of ``df`` and ``columns``, each computed once per row.
+
+    A filter above a projection is moved below it with every expression it uses written out again; nested
+    expressions then grow without bound. Nothing is moved through this one-row generator.
+    """
+    made = F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))).alias("_pinned")
+    return df.select(*[F.col(c) for c in keep], made).select(*[F.col(c) for c in keep], *[F.col(f"_pinned.{k}").alias(k) for k in columns])

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import table, written
+from scanlake.llm.common import pinned, table, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 5
@@ -138,12 +138,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
     n_lines = F.size(F.filter("_lines", lambda x: F.trim(F.regexp_replace(x, SPACES, " ")) != ""))
     n_exact = F.coalesce("_exact", F.lit(0))
-    return both.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in clash],
-        F.greatest(n_lines, F.lit(0)).cast("long").alias("n_lines"),
-        n_exact.cast("long").alias("n_exact"),
-        (F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)) - n_exact).cast("long").alias("n_near"),
-    )
+    made = {
+        "text": text,
+        "n_lines": F.greatest(n_lines, F.lit(0)).cast("long"),
+        "n_exact": n_exact.cast("long"),
+        "n_near": (F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)) - n_exact).cast("long"),
+    }
+    return pinned(both, made, [c for c in clash if c != "text"]).select(*clash, "n_lines", "n_exact", "n_near")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import table
+from scanlake.llm.common import pinned, table
 
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -74,7 +74,8 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_shouts": F.regexp_count("_text", F.lit("!")).cast("long"),
         "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?"))).isin(stops))).cast("long"),
     }
-    return step.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in counts], *[v.alias(k) for k, v in counts.items()])
+    step = pinned(step, counts, ["_row"])
+    return step.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in counts], *counts)
 
 
 def ratios() -> dict[str, Column]:
