@@ -38,7 +38,7 @@ class ByteBpe(PieceEncoder):
     """A byte-level vocabulary of the tokenizers library."""
 
     def __init__(self, vocab: str, pattern: str) -> None:
-        super().__init__(vocab, regex.compile(pattern).findall)
+        super().__init__(vocab, regex.compile(pattern).findall, self.MARK, lambda p: p.removeprefix(" ").isalnum())
         back = {c: b for b, c in enumerate(byte_characters())}
         names = self.tokenizer.get_vocab()
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Pieces a worker remembers, and the longest that it does (characters); longer ones are encoded each time.
-LIMIT = 300_000
+LIMIT = 600_000
 LONGEST = 40
 
 
@@ -28,36 +28,57 @@ def words(text: str) -> list[str]:
 
 
 class PieceEncoder:
-    """Encodes texts piece by piece; ``split`` gives a text's pieces in order."""
+    """Encodes texts piece by piece; ``split`` gives a text's pieces in order.
+
+    Unknown pieces are encoded many at a time: joined by ``glue``, around a mark that is one id, which
+    the tokenizer never merges with its neighbours where ``joinable`` holds for them; the others go singly.
+    """
 
     _made: dict = {}
+    MARK = "\x1e"
 
-    def __init__(self, vocab: str, split: Callable[[str], list[str]]) -> None:
+    def __init__(self, vocab: str, split: Callable[[str], list[str]], glue: str, joinable: Callable[[str], bool]) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocab)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.small = self.tokenizer.get_vocab_size() <= 1 << 16
-        self.split, self.known = split, {}
+        self.split, self.glue, self.joinable, self.known = split, glue, joinable, {}
+        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _fresh(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        joined = [p for p in pieces if self.mark is not None and self.MARK not in p and self.joinable(p)]
+        groups = [joined[i : i + 128] for i in range(0, len(joined), 128)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([self.glue.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            raw, marks = ids.tobytes(), (np.flatnonzero(ids == self.mark) * 4).tolist()
+            if len(marks) != len(group) - 1:
+                raise ValueError("the mark between pieces was merged")
+            yield from zip(group, [raw[a:b] for a, b in zip([0, *[m + 4 for m in marks]], [*marks, len(raw)], strict=True)], strict=True)
+        single = list(set(pieces).difference(joined))
+        for p, e in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
+            yield p, np.array(e.ids, np.uint32).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text as uint32, in order."""
         known = self.known
-        if len(known) > LIMIT:
-            known.clear()
+        if len(known) > LIMIT:  # what came first is the most frequent
+            for p in list(known)[LIMIT // 2 :]:
+                del known[p]
         pieces = [self.split(t) for t in texts]
-        new = list({p for ps in pieces for p in set(ps) if p not in known})
-        fresh = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(p) <= LONGEST else fresh)[p] = np.array(e.ids, np.uint32).tobytes()
+        new: set[str] = set()
+        for ps in pieces:
+            new.update(set(ps).difference(known))
+        long = {}
+        for p, ids in self._fresh(list(new)):
+            (known if len(p) <= LONGEST else long)[p] = ids
         for ps in pieces:
             try:
-                yield np.frombuffer(b"".join([known[p] for p in ps]), np.uint32)
+                yield np.frombuffer(b"".join(map(known.__getitem__, ps)), np.uint32)
             except KeyError:
-                yield np.frombuffer(b"".join([known.get(p) or fresh.get(p) or b"" for p in ps]), np.uint32)
+                yield np.frombuffer(b"".join([known[p] if p in known else long[p] for p in ps]), np.uint32)
 
 
 class WordEncoder(PieceEncoder):
@@ -67,5 +88,5 @@ class WordEncoder(PieceEncoder):
     def of(cls, vocab: str) -> "WordEncoder":
         """This worker's encoder for ``vocab``; made once."""
         if (key := (cls, vocab)) not in cls._made:
-            cls._made[key] = cls(vocab, words)
+            cls._made[key] = cls(vocab, words, f" {cls.MARK} ", lambda p: True)
         return cls._made[key]
