@@ -55,11 +55,12 @@ def encoded(docs: DataFrame, vocab: str, end_id: int = END_ID, id_col: str = "do
 def placed(first_pass: DataFrame) -> DataFrame:
     """Second prefix sum: adds ``begin``, the document's first global offset.
 
-    The window runs over one row per partition of the first pass, never over documents.
+    The window runs over one row per partition of the first pass, never over documents; that table is sent to all
+    executors, as it has no more rows than the first pass had tasks. So ids are not shuffled at all.
     """
     totals = first_pass.groupBy("part").agg(F.sum("n").alias("total"))
     base = totals.select("part", (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("base"))
-    return first_pass.join(base, "part").select("doc_id", (F.col("base") + F.col("run")).alias("begin"), "n", "ids")
+    return first_pass.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("run")).alias("begin"), "n", "ids")
 
 
 def pack(docs: DataFrame, vocab: str | None = None, size: int = SIZE, end_id: int = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
