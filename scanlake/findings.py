@@ -79,7 +79,8 @@ def summarize(rows: DataFrame, key: str, severity: str = "severity") -> DataFram
 
 def summary(found: Column) -> Column:
     """The same for one file's array of findings, as a struct."""
-    n = {name: F.size(F.filter(found, lambda f, name=name: F.coalesce(f["severity"], F.lit("info")) == name)).cast("long") for name in SEVERITIES}
+    shown = F.transform(found, lambda f: F.coalesce(f["severity"], F.lit("info")))
+    n = {name: (F.size(shown) - F.size(F.array_remove(shown, name))).cast("long") for name in SEVERITIES}
     overall = verdict_of(n["critical"], n["fail"], n["warn"])
     counts = F.create_map(*[x for name in SEVERITIES for x in (F.lit(name), n[name])])
     return F.struct(overall.alias("overall"), trust_of(overall).alias("trust_score"), counts.alias("counts"), sum(n.values()).alias("total_checks"))

@@ -53,7 +53,7 @@ ATTRIBUTES: list[tuple[int, int, str, str]] = [
 ]
 KEYWORDS = {(g, e): k for g, e, k, *_ in (*PROFILE_TAGS, *FREE_TEXT_TAGS, *ATTRIBUTES)}
 TAGS = {k: t for t, k in KEYWORDS.items()}
-IMPLICIT_VR = {(g, e): vr for g, e, _, vr in ATTRIBUTES} | {(0x0040, 0xA730): "SQ", (0x7FE0, 0x0010): "OW"}
+IMPLICIT_VR = {(g, e): "LO" for g, e, *_ in (*PROFILE_TAGS, *FREE_TEXT_TAGS)} | {(g, e): vr for g, e, _, vr in ATTRIBUTES} | {(0x0040, 0xA730): "SQ", (0x7FE0, 0x0010): "OW"}
 _NUMBERS = {"US": "H", "SS": "h", "UL": "I", "SL": "i", "FL": "f", "FD": "d", "UV": "Q", "SV": "q"}
 _TEXT_VRS = {"AE", "AS", "CS", "DA", "DS", "DT", "IS", "LO", "LT", "PN", "SH", "ST", "TM", "UC", "UI", "UR", "UT"}
 _LONG = {v.encode() for v in LONG_VRS}
@@ -147,7 +147,9 @@ class _Walk:
                 off = at
                 continue
             if vr is None:
-                vr = IMPLICIT_VR.get(tag, "UN" if length != UNDEFINED_LENGTH else "SQ")
+                # without a VR, an unknown value that begins with an item is taken for a sequence
+                item = length == UNDEFINED_LENGTH or (length >= 8 and self.data[at : at + 4] == (b"\xfe\xff\x00\xe0" if self.le else b"\xff\xfe\xe0\x00"))
+                vr = IMPLICIT_VR.get(tag, "SQ" if item else "UN")
             elif vr.encode("latin-1") not in _VALID:
                 return out, end  # the walk has lost its place
             self.n += 1
