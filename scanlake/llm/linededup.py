@@ -9,11 +9,12 @@ Method. Distinct lines emit their deletion variants, each as one hashed key: the
 without each of its words. Variants that are equal meet: a line and another's deletion (one word inserted), or two
 deletions at one place (one word replaced). In a group of equal variants every member is compared with the
 earliest alone, which suffices for "some earlier line is near" and is linear in the group; candidates
-are then verified by word edit distance on the texts. Variants take constant time each: a key is the XOR of
-hashes of (word, place), so prefixes and suffixes combine without building strings.
+are then verified by word edit distance on the texts.
 
-Before variants are made, lines without a possible partner are left out, exactly: one edit leaves the first half
-or the last half of the words untouched, so a line whose halves no other line has can't be near one.
+Variants that can't meet any other are left out, exactly. One edit leaves the first half or the last half of the
+words untouched, so lines whose halves no other line has are dropped. The others are cut into eight zones: an
+edit in a zone leaves all words outside it untouched, so only zones whose outside another line has emit variants,
+and only those of their own words.
 
 Defined results: a null text has no lines and stays null; a row without doc_id counts as after all others; rows
 that agree in doc_id and text are one document and get one outcome; an empty table gives an empty
@@ -22,36 +23,77 @@ result; other columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlake.llm.common import pinned, table, written
 
-SPACES = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 5
+#: Zones in either half of a line.
+ZONES = 4
+#: A word: anything but white space (\x20, \x09-\x0D).
+WORDED = r"[^\x20\x09-\x0D]"
+#: Up to so many keys of 8 bytes are sent to all executors; beyond, both sides are shuffled.
+BROADCAST_KEYS = 1_000_000
+#: Up to so many lines with a possible partner (about 100 bytes each) are sent to all executors; beyond, texts are shuffled to them.
+BROADCAST_LINES = 200_000
 
 
 def _normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), SPACES, " "))
+    """Lower case, white space collapsed to single blanks. Runs are rare, so only lines that hold one pay for it."""
+    x = F.lower(line)
+    for c in "\t\x0b\f\r":
+        x = F.replace(x, F.lit(c), F.lit(" "))
+    return F.trim(F.when(F.instr(x, "  ") > 0, F.regexp_replace(x, " +", " ")).otherwise(x))
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _tags(n: Column) -> list[tuple[Column, Column | None]]:
+    """Numbers m, each at most half the words, such that lines whose lengths differ by at most one have one in common.
+
+    Even n has n / 2 and n / 2 - 1, odd n only (n - 1) / 2; the condition is null where the number always applies.
+    """
+    return [(F.floor(n / 2).cast("int"), None), ((F.floor(n / 2) - 1).cast("int"), n % 2 == 0)]
+
+
 def _half_keys(norm: Column, n: Column, least: int) -> Column:
-    """Keys of halves under which a line meets partners of its length or one word more (tag n), and one word less (tag n - 1)."""
+    """Keys of the first and the last m words for the line's tags m; none for lines too short to have a partner."""
     keys = []
-    for tag, ok in ((n, n >= least - 1), (n - 1, n >= least)):
-        half = F.floor(tag / 2).cast("int")
-        keys += [F.when(ok, F.xxhash64(tag, F.lit(side), F.call_function("substring_index", norm, F.lit(" "), half * side))) for side in (1, -1)]
+    for m, only in _tags(n):
+        ok = (n >= least - 1) & (F.lit(True) if only is None else only)
+        keys += [F.when(ok, F.xxhash64(m, F.lit(side), F.call_function("substring_index", norm, F.lit(" "), m * side))) for side in (1, -1)]
     return F.array_compact(F.array(*keys))
 
 
+def _zones(words: Column, n: Column) -> Column:
+    """Zones as ``array<struct<key, left, right>>``: the words but the first ``left`` and last ``right``; the key is of those."""
+    out = []
+    for m, only in _tags(n):
+        cut = [F.floor(m * k / ZONES).cast("int") for k in range(ZONES + 1)]
+        sides = [(cut[k], 2 * m - cut[k + 1]) for k in range(ZONES)] + [(2 * m - cut[k + 1], cut[k]) for k in reversed(range(ZONES))]
+        for q, (left, right) in enumerate(sides):
+            key = F.xxhash64(m, F.lit(q), F.slice(words, 1, left), F.slice(words, n - right + 1, right))
+            zone = F.struct(key.alias("key"), left.alias("left"), right.alias("right"))
+            k = min(q, 2 * ZONES - 1 - q)
+            # the last zone takes what the halves leave over, so it is never empty
+            here = F.lit(True) if q == 2 * ZONES - 1 else cut[k] < cut[k + 1]
+            out.append(F.when(here if only is None else here & only, zone))
+    return F.array_compact(F.array(*out))
+
+
+def _few(df: DataFrame, most: int, n: str | None = None) -> DataFrame:
+    """``df``, marked to be sent to all executors if its rows (or the sum of a column) number at most ``most``; it must be written already."""
+    size = df.agg(F.sum(n) if n else F.count("*")).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """A row per line with words: where it stands, two hashes of its normal form, its words and its half keys."""
-    lines = docs.select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(_lines(F.col("text"))).alias("ln", "line"))
-    lines = lines.select("doc_id", "th", "ln", _normal(F.col("line")).alias("norm")).filter("norm <> ''")
+    lines = docs.select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(_lines(F.col("text"))).alias("ln", "line")).filter(F.col("line").rlike(WORDED))
+    lines = lines.select("doc_id", "th", "ln", _normal(F.col("line")).alias("norm"))
     lines = lines.withColumn("n", (F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).cast("int"))
     return lines.select("doc_id", "th", "ln", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"), "n", _half_keys(F.col("norm"), F.col("n"), min_words).alias("halves"))
 
@@ -60,23 +102,12 @@ def _rank() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("missing"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "th", "ln")
 
 
-def variants(lines: DataFrame) -> DataFrame:
-    """From (h1, h2, rank, words): (key, place, h1, h2, rank, n); place is null for the line itself, else that of the word left out."""
-    words = lines.select("h1", "h2", "rank", F.size("words").alias("n"), F.posexplode("words").alias("place", "word"))
-    words = words.select("h1", "h2", "rank", "n", "place", F.xxhash64("word", "place").alias("stay"), F.xxhash64("word", F.col("place") - 1).alias("shift"))
-    line = Window.partitionBy("h1", "h2").orderBy("place")
-    upto = line.rowsBetween(Window.unboundedPreceding, -1)
-    words = words.select(
-        "h1", "h2", "rank", "n", "place",
-        F.coalesce(F.bit_xor("stay").over(upto), F.lit(0)).alias("before"),
-        "stay", "shift",
-    )
-    # what follows the word left out: all shifted hashes XOR those up to and with it
-    total = Window.partitionBy("h1", "h2")
-    words = words.withColumn("rest", F.bit_xor("shift").over(total).bitwiseXOR(F.bit_xor("shift").over(line.rowsBetween(Window.unboundedPreceding, 0))))
-    left_out = words.select(F.col("before").bitwiseXOR(F.col("rest")).alias("key"), "place", "h1", "h2", "rank", "n")
-    whole = words.filter(F.col("place") == F.col("n") - 1).select(F.col("before").bitwiseXOR(F.col("stay")).alias("key"), F.lit(None).cast("int").alias("place"), "h1", "h2", "rank", "n")
-    return left_out.union(whole)
+def variants(zones: DataFrame) -> DataFrame:
+    """From (h1, h2, rank, n, key, seg): (key, place, h1, h2, rank, n); place is null for the line itself, else that of the word left out."""
+    size = F.size("seg")
+    cut = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.struct(F.xxhash64("key", F.slice("seg", 1, i), F.slice("seg", i + 2, size)).alias("key"), i.alias("place")))
+    whole = F.array(F.struct(F.xxhash64("key", "seg").alias("key"), F.lit(None).cast("int").alias("place")))
+    return zones.select("h1", "h2", "rank", "n", F.explode(F.when(size > 0, F.concat(whole, cut)).otherwise(whole)).alias("v")).select("v.key", "v.place", "h1", "h2", "rank", "n")
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -89,17 +120,23 @@ def one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), replaced).when(F.size(long) == F.size(short) + 1, inserted).otherwise(False)
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(h1, h2) of the distinct lines that an earlier distinct line is within one edit of."""
-    halves = firsts.select("h1", "h2", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
-    alive = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    where = firsts.join(alive, ["h1", "h2"], "left_semi").select(F.col("rank.doc_id").alias("d"), F.col("rank.missing").alias("m"), F.col("rank.th").alias("t"), F.struct(F.col("rank.ln").alias("ln"), "h1", "h2", "rank").alias("at"))
-    wanted = where.groupBy("d", "m", "t").agg(F.collect_list("at").alias("at"))
-    keyed = docs.select(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("m"), F.xxhash64("text").alias("t"), "text").dropDuplicates(["d", "m", "t"])
-    chosen = keyed.join(wanted, ["d", "m", "t"]).select(_lines(F.col("text")).alias("ls"), "at")
-    chosen = chosen.select(F.explode(F.transform("at", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["rank"].alias("rank"), F.get("ls", x["ln"]).alias("line")))).alias("x"))
-    lines = written(chosen.select("x.h1", "x.h2", "x.rank", F.split(_normal(F.col("x.line")), " ").alias("words")), "lines-alive")
+    halves = lines.select("h1", F.explode("halves").alias("half"))
+    shared = written(halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("half"), "lines-shared")
+    alive = written(halves.join(_few(shared, BROADCAST_KEYS), "half", "left_semi").select("h1").distinct(), "lines-met")
+    where = firsts.join(_few(alive, BROADCAST_KEYS), "h1", "left_semi").select(F.col("rank.doc_id").alias("d"), F.col("rank.missing").alias("m"), F.col("rank.th").alias("t"), F.struct(F.col("rank.ln").alias("ln"), "h1", "h2").alias("at"))
+    wanted = written(where.groupBy("d", "m", "t").agg(F.collect_list("at").alias("at"), F.count("*").alias("c")), "lines-wanted")
+    keyed = docs.select(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("m"), F.xxhash64("text").alias("t"), "text")
+    chosen = keyed.join(_few(wanted, BROADCAST_LINES, "c"), ["d", "m", "t"]).select("d", "m", "t", _lines(F.col("text")).alias("ls"), "at")
+    chosen = chosen.select("d", "m", "t", F.explode(F.transform("at", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["ln"].alias("ln"), F.get("ls", x["ln"]).alias("line")))).alias("x"))
+    rank = F.struct(F.col("m").alias("missing"), F.col("d").alias("doc_id"), F.col("t").alias("th"), F.col("x.ln").alias("ln")).alias("rank")
+    texts = chosen.select("x.h1", "x.h2", rank, F.split(_normal(F.col("x.line")), " ").alias("words")).dropDuplicates(["h1", "h2"])
+    texts = written(texts.withColumn("n", F.size("words")), "lines-texts")
+    zones = texts.select("h1", "h2", F.explode(_zones(F.col("words"), F.col("n"))).alias("z")).select("h1", "h2", "z.*")
+    common = zones.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key")
+    zones = zones.join(common, "key", "left_semi").join(texts, ["h1", "h2"])
+    lines = zones.select("h1", "h2", "rank", "n", "key", F.slice("words", F.col("left") + 1, F.col("n") - F.col("left") - F.col("right")).alias("seg"))
     keys = written(variants(lines), "lines-variants")
     me = F.struct("rank", "h1", "h2")
     met = keys.groupBy("key").agg(F.min(F.when(F.col("place").isNull(), me)).alias("whole"), F.min(F.when(F.col("place").isNotNull(), me)).alias("cut")).filter("whole IS NOT NULL AND cut IS NOT NULL")
@@ -109,7 +146,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, min_words: int = MIN_WORDS) -
     replaced = same.join(tops, ["key", "place"])
     pick = ["h1", "h2", F.col("hub.h1").alias("g1"), F.col("hub.h2").alias("g2")]
     pairs = inserted.filter("hub.rank < rank").select(*pick).union(replaced.filter("hub.rank < rank").select(*pick)).distinct()
-    texts = lines.select("h1", "h2", "words")
+    texts = texts.select("h1", "h2", "words")
     pairs = pairs.join(texts, ["h1", "h2"]).join(texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("words").alias("hub_words")), ["g1", "g2"])
     long = F.greatest(F.size("words"), F.size("hub_words"))
     return pairs.filter((long >= min_words) & one_edit(F.col("words"), F.col("hub_words"))).select("h1", "h2").distinct()
@@ -120,23 +157,21 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     core = docs.select("doc_id", "text")
     lines = written(line_table(core, min_words), "lines")
     firsts = written(
-        lines.select("h1", "h2", F.struct(_rank().alias("rank"), "halves").alias("x"))
-        .groupBy("h1", "h2")
-        .agg(F.min("x").alias("x"), F.count("*").alias("c"))
-        .select("h1", "h2", "x.rank", "x.halves", "c"),
+        lines.select("h1", "h2", _rank().alias("rank")).groupBy("h1", "h2").agg(F.min("rank").alias("rank"), F.count("*").alias("c")),
         "lines-first",
     )
-    near = near_lines(core, firsts, min_words).withColumn("near", F.lit(True))
+    near = near_lines(core, lines, firsts, min_words).withColumn("near", F.lit(True))
     status = firsts.select("h1", "h2", "rank", "c").join(near, ["h1", "h2"], "left").filter("near OR c > 1").select("h1", "h2", F.col("rank").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("h1", "h2", "doc_id", "th", "ln", _rank().alias("rank")).join(status, ["h1", "h2"]).filter("near OR rank <> first")
-    exact = F.col("rank") != F.col("first")
+    gone = lines.select("h1", "h2", "doc_id", "th", "ln").join(status, ["h1", "h2"])
+    exact = _rank() != F.col("first")
+    gone = gone.filter(F.col("near") | exact)
     per_doc = gone.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set("ln").alias("_gone"), F.size(F.collect_set(F.when(exact, F.col("ln")))).alias("_exact"))
     clash = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
     both = docs.select(*clash, F.xxhash64("text").alias("_h")).join(per_doc, (F.col("doc_id").eqNullSafe(F.col("_d"))) & (F.col("_h") == F.col("_t")), "left")
     both = both.withColumn("_lines", _lines(F.col("text")))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    n_lines = F.size(F.filter("_lines", lambda x: F.trim(F.regexp_replace(x, SPACES, " ")) != ""))
+    n_lines = F.size(F.filter("_lines", lambda x: x.rlike(WORDED)))
     n_exact = F.coalesce("_exact", F.lit(0))
     made = {
         "text": text,
