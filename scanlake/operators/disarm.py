@@ -19,14 +19,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanlake.dims import DEFLATED_LE, EXPLICIT_LE, IMPLICIT_LE, LOSSLESS_ENCAPSULATED, NATIVE_FOR_REBUILD, SAFE_CREATORS
+from scanlake.dims import DEFLATED_LE, EXPLICIT_LE, IMPLICIT_LE, LOSSLESS_ENCAPSULATED, NATIVE_FOR_REBUILD, RLE, SAFE_CREATORS
 from scanlake.findings import dangerous
 from scanlake.functions.binary import payload_threat
 from scanlake.operators import security
+from scanlake.scratch import written
 from scanlake.sources.dicom import PIXELS, Element, parse
 from scanlake.sources.writer import data_set, part10
 
-TIMEOUT, MEMORY, CPU = 30, 2 * 1024**3, 30
+TIMEOUT, MEMORY, CPU, BATCH = 30, 2 * 1024**3, 30, 32
+#: Compressed syntaxes that can be decoded here.
+DECODABLE = [DEFLATED_LE, RLE]
 WORKER = "import sys; from scanlake.operators.disarm import decode_worker; decode_worker(sys.argv[1], sys.argv[2])"
 
 
@@ -59,15 +62,15 @@ def filter_private(elements: list[Element], allowed: Iterable[str] = SAFE_CREATO
 
 
 def decode_worker(source: str, target: str) -> None:
-    """In the child process: read a file, write its native pixels."""
+    """In the child process: decode the files of folder ``source`` one by one into ``target``; an undecodable one leaves no bytes there."""
     from scanlake.operators.pixels import native_pixels
 
-    with open(source, "rb") as f:
-        raw = native_pixels(parse(f.read()))
-    if raw is None:
-        sys.exit(3)
-    with open(target, "wb") as f:
-        f.write(raw)
+    for name in sorted(os.listdir(source), key=int):
+        with open(os.path.join(source, name), "rb") as f:
+            raw = native_pixels(parse(f.read()))
+        with open(os.path.join(target, name + ".part"), "wb") as f:
+            f.write(raw or b"")
+        os.rename(os.path.join(target, name + ".part"), os.path.join(target, name))
 
 
 def _limits() -> None:
@@ -77,37 +80,65 @@ def _limits() -> None:
     resource.setrlimit(resource.RLIMIT_CPU, (CPU, CPU))
 
 
-def sandboxed_pixels(data: bytes, timeout: float = TIMEOUT, worker: str = WORKER) -> tuple[bytes | None, str]:
-    """(native pixels or null, reason) from a child process; its files live in the task's own temporary folder and are removed."""
+def _child(files: list[bytes], timeout: float, worker: str) -> tuple[list[bytes | None], str]:
+    """Results of the files that a child got to (null: not reached), and how it ended."""
     with tempfile.TemporaryDirectory() as folder:
         source, target = os.path.join(folder, "in"), os.path.join(folder, "out")
-        with open(source, "wb") as f:
-            f.write(data)
+        os.mkdir(source)
+        os.mkdir(target)
+        for i, data in enumerate(files):
+            with open(os.path.join(source, str(i)), "wb") as f:
+                f.write(data)
         try:
             done = subprocess.run([sys.executable, "-c", worker, source, target], timeout=timeout, capture_output=True, preexec_fn=_limits, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)}, check=False)
+            how = "ok" if not done.returncode else f"crash(sig{-done.returncode})" if done.returncode < 0 else f"failed({done.returncode})"
         except subprocess.TimeoutExpired:
-            return None, "hung"
-        if done.returncode < 0:
-            return None, f"crash(sig{-done.returncode})"
-        if done.returncode:
-            return None, "no decoder" if done.returncode == 3 else f"failed({done.returncode})"
-        if not os.path.exists(target):
-            return None, "no output"
-        with open(target, "rb") as f:
-            return f.read(), "ok"
-
-
-def rebuild(data: bytes, strip_private: bool = True) -> dict:
-    """A file's clean copy: ``output`` or ``error``, ``changes``, ``private_removed``, ``transcoded``, ``image_preserved``."""
+            how = "hung"
+        got: list[bytes | None] = []
+        for i in range(len(files)):
+            path = os.path.join(target, str(i))
+            got.append(open(path, "rb").read() if os.path.exists(path) else None)
+        return got, how
+
+
+def sandboxed_pixels(files: list[bytes], timeout: float = TIMEOUT, worker: str = WORKER) -> list[tuple[bytes | None, str]]:
+    """(native pixels or null, reason) of each file, from child processes.
+
+    One child takes all files. Where it crashes or hangs, the file it was at is tried once more alone, which
+    tells whether it is to blame; another child takes the files after it.
+    """
+    out: list[tuple[bytes | None, str]] = []
+    while len(out) < len(files):
+        got, how = _child(files[len(out) :], timeout, worker)
+        for raw in got:
+            if raw is None:
+                break
+            out.append((raw, "ok") if raw else (None, "not decodable"))
+        if len(out) < len(files):
+            if len(got) > 1:
+                (alone,), how = _child([files[len(out)]], timeout, worker)
+            else:
+                alone = None
+            out.append((None, "no output" if how == "ok" else how) if alone is None else (alone, "ok") if alone else (None, "not decodable"))
+    return out
+
+
+def rebuild(data: bytes, strip_private: bool = True, decoded: tuple[bytes | None, str] | None = None) -> dict:
+    """A file's clean copy: ``output`` or ``error``, ``changes``, ``private_removed``, ``transcoded``, ``image_preserved``.
+
+    ``decoded`` is the sandbox's result for a file with encapsulated pixels, if it was asked already.
+    """
     from scanlake.operators.pixels import native_pixels
 
     out = {"output": None, "changes": [], "private_removed": 0, "transcoded": False, "image_preserved": None, "error": None}
     p = parse(data)
-    syntax, elements, pixels = p.syntax, p.elements, None
+    syntax, elements = p.syntax, p.elements
     if p.error:
         return out | {"error": f"unreadable: {p.error}"}
     if syntax and syntax not in NATIVE_FOR_REBUILD:
-        pixels, reason = sandboxed_pixels(data)
+        if syntax not in DECODABLE:
+            return out | {"error": f"not decoded: no decoder for {syntax}"}
+        pixels, reason = decoded or sandboxed_pixels([data])[0]
         if pixels is None:
             return out | {"error": f"not decoded: {reason}"}
         out["transcoded"], out["changes"] = True, [f"{syntax} to {EXPLICIT_LE}"]
@@ -136,19 +167,25 @@ def disarm(files: DataFrame, parsed: DataFrame, strip_private: bool = True) -> D
     """
     blocking = dangerous(F.concat(security.pixel_dimension_bomb(), security.length_amplification()))
     syntax = F.coalesce("syntax", F.lit(""))
-    gated = parsed.select(
+    gates = parsed.select(
         "file_id",
         F.when(F.col("parse_error").isNotNull(), F.concat(F.lit("unreadable: "), F.col("parse_error"))).when(F.col("pixel_len").isNull(), "no image").when(blocking, "allocation or length bomb").alias("_refused"),
         F.when((syntax == "") | syntax.isin(NATIVE_FOR_REBUILD), None).otherwise(~source_is_lossless(syntax)).alias("source_lossy"),
     )
+    gated = written(gates, "gated")
     types = [pa.binary(), pa.list_(pa.string()), pa.int32(), pa.bool_(), pa.bool_(), pa.string()]
     names = ["output", "changes", "private_removed", "transcoded", "image_preserved", "error"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                made = rebuild(b.column(2)[i].as_py() or b"", strip_private)
-                yield pa.record_batch([*(c.slice(i, 1) for c in b.columns[:2]), *[pa.array([made[n]], t) for n, t in zip(names, types, strict=True)]], names=["file_id", "source_lossy", *names])
+            for i in range(0, b.num_rows, BATCH):
+                part = b.slice(i, BATCH)
+                contents = [x or b"" for x in part.column(2).to_pylist()]
+                closed = [k for k, x in enumerate(contents) if parse(x[:4096]).syntax in DECODABLE]
+                decoded = dict(zip(closed, sandboxed_pixels([contents[k] for k in closed]), strict=True)) if closed else {}
+                for k, x in enumerate(contents):
+                    made = rebuild(x, strip_private, decoded.get(k))
+                    yield pa.record_batch([*(c.slice(k, 1) for c in part.columns[:2]), *[pa.array([made[n]], t) for n, t in zip(names, types, strict=True)]], names=["file_id", "source_lossy", *names])
 
     ready = files.select("file_id", "content").join(gated.filter("_refused IS NULL"), "file_id").select("file_id", "source_lossy", "content")
     made = ready.mapInArrow(run, f"file_id string, source_lossy boolean, {REBUILT}")

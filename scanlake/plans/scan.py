@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scanlake.findings import dangerous, none, summary
 from scanlake.operators import corpus, disarm, metadata, pixels, privacy, security
+from scanlake.scratch import written
 from scanlake.sources.dicom import parsed
 
 #: Columns of a report that a later step needs besides its findings.
@@ -44,10 +45,10 @@ def disarm_or_quarantine(files: DataFrame, reports: DataFrame | None = None, eve
 
     Dangerous files (all with ``every``) are rebuilt and scanned again; what is still dangerous is quarantined.
     """
-    reports = scan(files, as_of=as_of) if reports is None else reports
+    reports = written(scan(files, as_of=as_of), "reports") if reports is None else reports
     marked = reports.select("file_id", (F.lit(every) | dangerous(F.col("findings"))).alias("go"))
     chosen = files.join(marked.filter("go").select("file_id"), "file_id", "left_semi")
-    made = disarm.disarm(chosen, parsed(chosen))
+    made = written(disarm.disarm(chosen, parsed(chosen)), "rebuilt")
     copies = made.filter("output IS NOT NULL").select("file_id", F.element_at(F.split("file_id", "/"), -1).alias("filename"), F.length("output").cast("long").alias("file_size"), F.col("output").alias("content"))
     still = scan(copies, as_of=as_of).select("file_id", dangerous(F.col("findings")).alias("still"))
     rows = made.join(still, "file_id", "left")
@@ -68,7 +69,7 @@ def evaluate(files: DataFrame, labels: DataFrame, as_of: str | None = None) -> D
 
     ``labels``: (filename, attack_class, expected_verdict). Third-party parsers aren't available, so there are no outcomes of theirs.
     """
-    reports = scan(files, as_of=as_of)
+    reports = written(scan(files, as_of=as_of), "reports")
     rank = F.array_max(F.transform("findings", lambda f: F.array_position(F.array(*[F.lit(s) for s in ("pass", "info", "warn", "fail", "critical")]), f["severity"]) - 1))
     rows = reports.select("file_id", "filename", corpus.verdict_of_rank(F.coalesce(rank, F.lit(0))).alias("verdict")).join(labels, "filename")
     acts = disarm_or_quarantine(files, reports, every=True, as_of=as_of).select("file_id", "action", disarm.fidelity(F.col("image_preserved")).alias("fidelity"))

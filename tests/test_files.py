@@ -92,9 +92,21 @@ def test_private_filter(creator, value, kept):
     assert (0x0009, 0x0011) in removed  # nothing refers to it
 
 
-@pytest.mark.parametrize(("worker", "reason"), [("import os, signal; os.kill(os.getpid(), signal.SIGSEGV)", "crash(sig11)"), ("import time; time.sleep(60)", "hung"), ("pass", "no output"), ("import sys; sys.exit(3)", "no decoder")])
+@pytest.mark.parametrize(("worker", "reason"), [("import os, signal; os.kill(os.getpid(), signal.SIGSEGV)", "crash(sig11)"), ("import time; time.sleep(60)", "hung"), ("pass", "no output"), ("import sys; sys.exit(3)", "failed(3)")])
 def test_sandbox_contains(worker, reason):
-    assert disarm.sandboxed_pixels(fixtures.plain(), timeout=2, worker=worker) == (None, reason)
+    assert disarm.sandboxed_pixels([fixtures.plain()], timeout=2, worker=worker) == [(None, reason)]
+
+
+def test_sandbox_blames_the_right_file():
+    """A file on which the decoder crashes doesn't take the others with it."""
+    worker = (
+        "import os, sys, signal\nfrom scanlake.operators import pixels, disarm\nown = pixels.native_pixels\n"
+        "def risky(p):\n    if p.number('Rows', 0) == 13: os.kill(os.getpid(), signal.SIGSEGV)\n    return own(p)\n"
+        "pixels.native_pixels = risky\ndisarm.decode_worker(sys.argv[1], sys.argv[2])"
+    )
+    files = [fixtures.plain(), fixtures.plain(Rows=13), fixtures.plain(pixels=None), fixtures.plain()]
+    got = disarm.sandboxed_pixels(files, worker=worker)
+    assert [r for _, r in got] == ["ok", "crash(sig11)", "not decodable", "ok"] and got[0][0] == got[3][0] == fixtures.slice_pixels()
 
 
 def test_elements_are_flat(spark, files):
