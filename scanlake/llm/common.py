@@ -2,63 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Scratch folders written by this process, removed when it ends.
-_WRITTEN: list[tuple[SparkSession, str]] = []
+from scanlake.scratch import clear_scratch, scratch_path, shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests on one machine) a temporary folder is made and
-    set as the checkpoint folder of the context.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="scanlake-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; it is deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/scanlake-{name}-{uuid.uuid4().hex[:12]}"
-    _WRITTEN.append((spark, path))
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_scratch() -> None:
-    """Delete every scratch folder of this process. Frames that still read them can't be used afterwards."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
-        except Exception:  # noqa: BLE001  the session has ended before; nothing can be done then
-            return
-
-
-atexit.register(clear_scratch)
+__all__ = ["arrow_batches", "clear_scratch", "id_order", "pinned", "scratch_path", "shared_dir", "table", "text_bytes", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
