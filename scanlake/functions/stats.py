@@ -16,7 +16,8 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> dict[str, Column]:
     centre = (p + z * z / (2 * nd)) / scale
     half = z * F.sqrt(p * (1 - p) / nd + z * z / (4 * nd * nd)) / scale
     zero = F.lit(0.0)
-    return {"p": F.coalesce(p, zero), "lo": F.coalesce(F.greatest(zero, centre - half), zero), "hi": F.coalesce(F.least(F.lit(1.0), centre + half), zero)}
+    some = lambda c: F.when(n > 0, c).otherwise(zero)  # noqa: E731  greatest and least pass over nulls
+    return {"p": some(p), "lo": some(F.greatest(zero, centre - half)), "hi": some(F.least(F.lit(1.0), centre + half))}
 
 
 def rule_of_three(n: Column, confidence: float = 0.95) -> Column:
