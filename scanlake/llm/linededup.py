@@ -33,6 +33,8 @@ MIN_WORDS = 5
 ZONES = 4
 #: A word: anything but white space (\x20, \x09-\x0D).
 WORDED = r"[^\x20\x09-\x0D]"
+#: A line that stands more than so often, and in more than one of ``HOT_ROWS`` lines, is a hot one; there are fewer than ``HOT_ROWS`` of them.
+HOT_LEAST, HOT_ROWS = 4096, 10_000
 #: Up to so many keys of 8 bytes are sent to all executors; beyond, both sides are shuffled.
 BROADCAST_KEYS = 1_000_000
 #: Up to so many lines with a possible partner (about 100 bytes each) are sent to all executors; beyond, texts are shuffled to them.
@@ -161,8 +163,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "lines-first",
     )
     near = near_lines(core, lines, firsts, min_words).withColumn("near", F.lit(True))
-    status = firsts.select("h1", "h2", "rank", "c").join(near, ["h1", "h2"], "left").filter("near OR c > 1").select("h1", "h2", F.col("rank").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("h1", "h2", "doc_id", "th", "ln").join(status, ["h1", "h2"])
+    status = firsts.select("h1", "h2", "rank", "c").join(near, ["h1", "h2"], "left").filter("near OR c > 1")
+    status = written(status.select("h1", "h2", F.col("rank").alias("first"), F.coalesce("near", F.lit(False)).alias("near"), "c"), "lines-status")
+    # a line that a large part of all lines repeats would meet its one row of status in one task: such rows, at most
+    # HOT_ROWS by their share, are sent to all executors instead
+    share = max(HOT_LEAST, lines.count() // HOT_ROWS)
+    hot = F.broadcast(status.filter(F.col("c") > share).drop("c"))
+    places = lines.select("h1", "h2", "doc_id", "th", "ln")
+    rest = places.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(status.filter(F.col("c") <= share).drop("c"), ["h1", "h2"])
+    gone = places.join(hot, ["h1", "h2"]).unionByName(rest)
     exact = _rank() != F.col("first")
     gone = gone.filter(F.col("near") | exact)
     per_doc = gone.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set("ln").alias("_gone"), F.size(F.collect_set(F.when(exact, F.col("ln")))).alias("_exact"))
