@@ -5,11 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders written by this process, removed when it ends.
 _WRITTEN: list[tuple[SparkSession, str]] = []
+#: Paths of the innermost ``passing`` block.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,9 +36,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; it is deleted when the driver ends."""
     path = f"{shared_dir(spark)}/scanlake-{name}-{uuid.uuid4().hex[:12]}"
     _WRITTEN.append((spark, path))
+    if (mine := _PASSING.get()) is not None:
+        mine.append(path)
     return path
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables written within this block are deleted at its end; what outlives it must be written to a path taken before."""
+    token = _PASSING.set([])
+    try:
+        yield
+    finally:
+        paths = _PASSING.get()
+        _PASSING.reset(token)
+        for path in paths:
+            _delete(spark, path)
+            _WRITTEN.remove((spark, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -47,9 +74,7 @@ def clear_scratch() -> None:
     while _WRITTEN:
         spark, path = _WRITTEN.pop()
         try:
-            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session has ended before; nothing can be done then
             return
 
