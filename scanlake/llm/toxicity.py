@@ -58,25 +58,35 @@ def text_words(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def mine(words: list[set[str]], toxic: np.ndarray, given: list[str] = (), support: int = SUPPORT, precision: float = PRECISION, gain: int = GAIN, most: int = VOTERS) -> list[str]:
+def mine(texts: list[str | None], toxic: np.ndarray, given: list[str] = (), support: int = SUPPORT, precision: float = PRECISION, gain: int = GAIN, most: int = VOTERS) -> list[str]:
     """Entries that occur in toxic texts and hardly elsewhere, at most ``most``.
 
     Greedy: the entry with most toxic texts goes first, and each entry must be in ``gain`` toxic texts that
     neither ``given`` entries nor those before it are in. Texts with the same words count once, so copies
     give no support. Of entries that occur in the same texts the longest is taken, as it claims least.
+    Words are taken from a text when they are needed and not kept; other texts are only searched for what toxic ones have.
     """
-    unlike: dict[frozenset, int] = {}
-    for i, ws in enumerate(words):
-        unlike.setdefault(frozenset(ws), i)
-    inside, outside = Counter(), Counter()
-    for ws, i in unlike.items():
-        (inside if toxic[i] else outside).update({t for w in ws for t in terms(w)})
-    good = {t for t, n in inside.items() if n >= support and n / (n + outside[t] + 0.3) >= precision}
+    seen: set[int] = set()
+    unlike = []
+    inside: Counter = Counter()
+    for i in sorted(range(len(texts)), key=lambda i: not toxic[i]):
+        ws = text_words(texts[i])
+        if (key := hash(frozenset(ws))) not in seen:
+            seen.add(key)
+            unlike.append(i)
+            if toxic[i]:
+                inside.update({t for w in ws for t in terms(w)})
+    inside = {t: n for t, n in inside.items() if n >= support}
+    outside: Counter = Counter()
+    for i in unlike:
+        if not toxic[i]:
+            outside.update({t for w in text_words(texts[i]) for t in terms(w) if t in inside})
+    good = {t for t, n in inside.items() if n / (n + outside[t] + 0.3) >= precision}
     having: dict[str, list[int]] = {t: [] for t in good}
     covered = set()
-    for ws, i in unlike.items():
+    for i in unlike:
         if toxic[i]:
-            own = {t for w in ws for t in terms(w)}
+            own = {t for w in text_words(texts[i]) for t in terms(w)}
             covered |= {i} if own & set(given) else set()
             for t in own & good:
                 having[t].append(i)
@@ -151,15 +161,14 @@ class Model:
 def train(texts: list[str | None], toxic: list[int]) -> Model:
     """Voters, label model and classifier from a sample of labelled texts."""
     entries = ["=" + s for s in SEEDS]
-    words = [text_words(t) for t in texts]
     y = np.array(toxic, bool)
-    entries += [t for t in mine(words, y, entries) if t not in entries] if y.any() else []
+    entries += [t for t in mine(texts, y, entries) if t not in entries] if y.any() else []
     if not y.any() or y.all():
         return Model(dict.fromkeys(entries, 4.0), 4.0, 0.0, -3.0)
     index = {t: i for i, t in enumerate(entries)}
     votes = np.zeros((len(texts), len(entries) + 2), np.float32)
-    for i, (ws, text) in enumerate(zip(words, texts, strict=True)):
-        for t in {t for w in ws for t in terms(w)} & index.keys():
+    for i, text in enumerate(texts):
+        for t in {t for w in text_words(text) for t in terms(w)} & index.keys():
             votes[i, index[t]] = 1
         votes[i, -2] = bool(_PATTERN.search((text or "").lower()))
         votes[i, -1] = not votes[i, :-1].any()
