@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.scratch import clear_scratch, scratch_path, shared_dir, written
+from scanlake.scratch import clear_scratch, passing, scratch_path, shared_dir, written
 
-__all__ = ["arrow_batches", "clear_scratch", "id_order", "pinned", "scratch_path", "shared_dir", "table", "text_bytes", "written"]
+__all__ = ["arrow_batches", "clear_scratch", "id_order", "passing", "pinned", "scratch_path", "shared_dir", "table", "text_bytes", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import pinned, table, written
+from scanlake.llm.common import passing, pinned, scratch_path, table, written
 
 MIN_WORDS = 5
 #: Zones in either half of a line.
@@ -97,7 +97,7 @@ def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = docs.select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(_lines(F.col("text"))).alias("ln", "line")).filter(F.col("line").rlike(WORDED))
     lines = lines.select("doc_id", "th", "ln", _normal(F.col("line")).alias("norm"))
     lines = lines.withColumn("n", (F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).cast("int"))
-    return lines.select("doc_id", "th", "ln", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"), "n", _half_keys(F.col("norm"), F.col("n"), min_words).alias("halves"))
+    return lines.select("doc_id", "th", "ln", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"), _half_keys(F.col("norm"), F.col("n"), min_words).alias("halves"))
 
 
 def _rank() -> Column:
@@ -158,13 +158,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the lines that go taken out of ``text``, and ``n_lines`` (with words), ``n_exact``, ``n_near`` (gone as equal, as near)."""
     core = docs.select("doc_id", "text")
     lines = written(line_table(core, min_words), "lines")
-    firsts = written(
-        lines.select("h1", "h2", _rank().alias("rank")).groupBy("h1", "h2").agg(F.min("rank").alias("rank"), F.count("*").alias("c")),
-        "lines-first",
-    )
-    near = near_lines(core, lines, firsts, min_words).withColumn("near", F.lit(True))
-    status = firsts.select("h1", "h2", "rank", "c").join(near, ["h1", "h2"], "left").filter("near OR c > 1")
-    status = written(status.select("h1", "h2", F.col("rank").alias("first"), F.coalesce("near", F.lit(False)).alias("near"), "c"), "lines-status")
+    spark = docs.sparkSession
+    path = scratch_path(spark, "lines-status")
+    with passing(spark):
+        firsts = written(lines.select("h1", "h2", _rank().alias("rank")).groupBy("h1", "h2").agg(F.min("rank").alias("rank"), F.count("*").alias("c")), "lines-first")
+        near = near_lines(core, lines, firsts, min_words).withColumn("near", F.lit(True))
+        status = firsts.select("h1", "h2", "rank", "c").join(near, ["h1", "h2"], "left").filter("near OR c > 1")
+        status = status.select("h1", "h2", F.col("rank").alias("first"), F.coalesce("near", F.lit(False)).alias("near"), "c")
+        status.write.parquet(path)
+    status = spark.read.schema(status.schema).parquet(path)
     # a line that a large part of all lines repeats would meet its one row of status in one task: such rows, at most
     # HOT_ROWS by their share, are sent to all executors instead
     share = max(HOT_LEAST, lines.count() // HOT_ROWS)
