@@ -219,3 +219,8 @@ PREAMBLE_ENTROPY = 4.0
 PAYLOAD_ENTROPY, PAYLOAD_MIN, PAYLOAD_OPAQUE_MIN, WINDOW = 7.0, 8, 256, 4096
 MAX_ELEMENTS, MAX_DEPTH, DEPTH_CAP = 50_000, 10, 256
 FRAME_CAP, AMPLIFICATION_FLOOR, AMPLIFICATION_BLOCK, AMPLIFICATION_WARN = 1024**3, 256 * 1024**2, 1000, 100
+# --- fixed values: what decoders under a sanitizer print for failed allocations and for memory faults ---
+ALLOCATION_MESSAGES = ["allocation-size-too-big", "exceeds maximum supported size", "out-of-memory", "requested allocation size", "hard rss limit", r"Image size \(\d+ pixels\) exceeds"]
+MEMORY_FAULTS = (
+    "heap-buffer-overflow stack-buffer-overflow heap-use-after-free global-buffer-overflow use-after-free dynamic-stack-buffer-overflow SEGV FPE alloc-dealloc-mismatch negative-size-param"
+).split()
