@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import arrow_batches, id_order, scratch_path, table, written
+from scanlake.llm.common import arrow_batches, id_order, passing, scratch_path, table, written
 
 RECORD_SCHEMA = "rec_type string, record_id string, target_uri string, refers_to string, payload binary, payload_bytes long, payload_digest string"
 _ARROW = pa.schema([("rec_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
@@ -51,10 +51,10 @@ def build_record(rec_type: str, record_id: str, uri: str | None, date: str, payl
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block
 
 
-def write_archives(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
+def write_archives(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", fast: bool = False) -> None:
     """Write rows (rec_type, record_id, target_uri, refers_to, payload, payload_digest) as ``*.gz`` archives below ``path``.
 
-    ``payload_digest`` may be null: it is then taken from the payload.
+    ``payload_digest`` may be null: it is then taken from the payload. ``fast`` compresses less, for archives that don't last.
     """
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,6 +70,7 @@ def write_archives(records: DataFrame, path: str, date: str = "1970-01-01T00:00:
         .select(F.col("value").cast("string").alias("value"))
         .write.option("lineSep", "\r\n\r\n")
         .option("compression", "gzip")
+        .option("zlib.compress.level", "BEST_SPEED" if fast else "DEFAULT_COMPRESSION")
         .text(path)
     )
 
@@ -210,9 +211,11 @@ def pages_from_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages, deduplicated by revisit records, read back."""
-    raw, fresh = scratch_path(spark, "warc-raw"), scratch_path(spark, "warc-fresh")
-    write_archives(page_records(table(spark, sf_dir, "pages")), raw)
-    resolve_revisits(spark, raw, fresh)
+    fresh = scratch_path(spark, "warc-fresh")
+    with passing(spark):
+        raw = scratch_path(spark, "warc-raw")
+        write_archives(page_records(table(spark, sf_dir, "pages")), raw, fast=True)
+        resolve_revisits(spark, raw, fresh)
     return pages_from_archives(spark, fresh)
 
 
