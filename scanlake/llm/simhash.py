@@ -166,14 +166,15 @@ def near_links(nodes: DataFrame) -> DataFrame:
     return lists.mapInArrow(forest, "u long, v long").distinct()
 
 
-def components(links: DataFrame, name: str = "cc", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, name: str = "cc") -> DataFrame:
     """(node, root) for every node of ``links`` (u, v): the smallest node reachable.
 
-    Alternating large-star and small-star steps; each round's links are written to the shared folder.
+    Alternating large-star and small-star steps until nothing changes, which takes rounds in the order of the
+    logarithm of the links; each round's links are written to the shared folder.
     """
     edges = written(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     seen = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -182,9 +183,12 @@ def components(links: DataFrame, name: str = "cc", rounds: int = 60) -> DataFram
         edges = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
-            break
+            return _roots(edges)
         seen = state
-    return edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _roots(stars: DataFrame) -> DataFrame:
+    return stars.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
