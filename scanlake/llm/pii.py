@@ -291,11 +291,13 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t if not t or not s else redacted(t, [(x["start"], x["kind"], x["end"]) for x in s]) for t, s in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True)]
-            columns = list(b.columns[:-1])
-            columns[at] = pa.array(texts, b.column(at).type)
-            yield pa.record_batch(columns, names=names)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 512):
+                b = whole.slice(i, 512)
+                texts = [t if not t or not s else redacted(t, [(x["start"], x["kind"], x["end"]) for x in s]) for t, s in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True)]
+                columns = list(b.columns[:-1])
+                columns[at] = pa.array(texts, b.column(at).type)
+                yield pa.record_batch(columns, names=names)
 
     return found.mapInArrow(run, docs.schema)
 

@@ -64,9 +64,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp) for every row; ``fp`` is the fingerprint as a signed long."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(x) for x in text_bytes(b.column(1))], np.uint64)
-            yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 512):
+                b = whole.slice(i, 512)
+                fps = np.array([fingerprint(x) for x in text_bytes(b.column(1))], np.uint64)
+                yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 

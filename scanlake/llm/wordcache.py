@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Pieces a worker remembers, and the longest that it does (characters); longer ones are encoded each time.
-LIMIT = 600_000
+LIMIT = 400_000
 LONGEST = 40
 
 
