@@ -37,16 +37,16 @@ def encoded(docs: DataFrame, vocab: str, end_id: int = END_ID, id_col: str = "do
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, run = WordEncoder.of(vocab), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], encoder.dtype).tobytes()
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 piece = b.slice(i, 512)
                 ids, runs, ns = [], [], []
                 for got in encoder.encode([x or "" for x in piece.column(1).to_pylist()]):
-                    got = np.append(got, np.uint32(end_id))
                     runs.append(run)
-                    ns.append(len(got))
-                    run += len(got)
-                    ids.append(got.astype("<u2" if encoder.small else "<u4").tobytes())
+                    ns.append(len(got) + 1)
+                    run += len(got) + 1
+                    ids.append(got.tobytes() + end)
                 yield pa.record_batch([pa.array([part] * len(ids), pa.int32()), pa.array(runs, pa.int64()), piece.column(0), pa.array(ns, pa.int64()), pa.array(ids, pa.binary())], names=["part", "run", "doc_id", "n", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "part int, run long, doc_id long, n long, ids binary")

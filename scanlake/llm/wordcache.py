@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Pieces a worker remembers, and the longest that it does (characters); longer ones are encoded each time.
-LIMIT = 400_000
+LIMIT = 600_000
 LONGEST = 40
 
 
@@ -43,7 +43,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocab)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.split, self.glue, self.joinable, self.known = split, glue, joinable, {}
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
@@ -52,17 +52,17 @@ class PieceEncoder:
         joined = [p for p in pieces if self.mark is not None and self.MARK not in p and self.joinable(p)]
         groups = [joined[i : i + 128] for i in range(0, len(joined), 128)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([self.glue.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
-            raw, marks = ids.tobytes(), (np.flatnonzero(ids == self.mark) * 4).tolist()
+            ids, size = np.array(e.ids, self.dtype), self.dtype.itemsize
+            raw, marks = ids.tobytes(), (np.flatnonzero(ids == self.mark) * size).tolist()
             if len(marks) != len(group) - 1:
                 raise ValueError("the mark between pieces was merged")
-            yield from zip(group, [raw[a:b] for a, b in zip([0, *[m + 4 for m in marks]], [*marks, len(raw)], strict=True)], strict=True)
+            yield from zip(group, [raw[a:b] for a, b in zip([0, *[m + size for m in marks]], [*marks, len(raw)], strict=True)], strict=True)
         single = list(set(pieces).difference(joined))
         for p, e in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
-            yield p, np.array(e.ids, np.uint32).tobytes()
+            yield p, np.array(e.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text as uint32, in order."""
+        """The ids of each text, in order, in two bytes each where the vocabulary allows it."""
         known = self.known
         if len(known) > LIMIT:  # what came first is the most frequent
             for p in list(known)[LIMIT // 2 :]:
@@ -76,9 +76,9 @@ class PieceEncoder:
             (known if len(p) <= LONGEST else long)[p] = ids
         for ps in pieces:
             try:
-                yield np.frombuffer(b"".join(map(known.__getitem__, ps)), np.uint32)
+                yield np.frombuffer(b"".join(map(known.__getitem__, ps)), self.dtype)
             except KeyError:
-                yield np.frombuffer(b"".join([known[p] if p in known else long[p] for p in ps]), np.uint32)
+                yield np.frombuffer(b"".join([known[p] if p in known else long[p] for p in ps]), self.dtype)
 
 
 class WordEncoder(PieceEncoder):
