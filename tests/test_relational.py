@@ -1,19 +1,19 @@
 """Every query with SQL against DuckDB on the smallest tables, and the functions that queries don't reach."""
 
 import math
+import os
 from pathlib import Path
 
 import __spark_entry__ as entry
 import duckdb
 import pytest
-from conftest import DATA
 from pyspark.sql import functions as F
 from scanlake.findings import dangerous, finding, findings, severity_rank, summary
 from scanlake.functions import binary, stats
 from scanlake.operators import corpus
 from scanlake.plans import files, relational
 
-SF = f"{DATA}/sf0.001"
+SF = os.environ.get("TESTDATA", "/root/testdata") + "/sf0.001"
 TABLES = [p.stem for p in Path(SF).glob("*.parquet")]
 
 
