@@ -58,7 +58,8 @@ def filter_private(elements: list[Element], allowed: Iterable[str] = SAFE_CREATO
                 continue
         kept.append(x)
     orphans = [x.tag for x in kept if is_creator(x) and x.tag not in blocks]
-    return [x for x in kept if x.tag not in orphans], removed + orphans
+    gone = set(orphans)
+    return [x for x in kept if x.tag not in gone], removed + orphans
 
 
 def decode_worker(source: str, target: str) -> None:

@@ -61,7 +61,7 @@ _VALID = {v.encode() for v in VALID_VRS}
 PIXELS = (0x7FE0, 0x0010)
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     """One element; ``value`` is its bytes, or the fragments of encapsulated pixels; ``items`` those of a sequence."""
 
@@ -127,16 +127,16 @@ def _header(data: bytes, off: int, implicit: bool, le: bool) -> tuple[tuple[int,
 
 
 class _Walk:
-    """Reads nested elements; counts elements and depth and stops at the caps."""
+    """Reads nested elements, all that there are; counts depth and stops at its cap."""
 
     def __init__(self, data: bytes, implicit: bool, le: bool) -> None:
-        self.data, self.implicit, self.le, self.n, self.depth = data, implicit, le, 0, 0
+        self.data, self.implicit, self.le, self.depth = data, implicit, le, 0
 
     def elements(self, off: int, end: int, depth: int, path: tuple[str, ...], until: int | None = None) -> tuple[list[Element], int]:
         """Elements from ``off`` up to ``end``, or to the delimiter ``until``; and where they stop."""
         out: list[Element] = []
         self.depth = max(self.depth, depth)
-        while off < end and self.n < MAX_ELEMENTS:
+        while off < end:
             head = _header(self.data, off, self.implicit, self.le)
             if head is None:
                 return out, end
@@ -152,7 +152,6 @@ class _Walk:
                 vr = IMPLICIT_VR.get(tag, "SQ" if item else "UN")
             elif vr.encode("latin-1") not in _VALID:
                 return out, end  # the walk has lost its place
-            self.n += 1
             name = f"({tag[0]:04X},{tag[1]:04X})"
             if tag == PIXELS and length == UNDEFINED_LENGTH:
                 fragments, off = self.fragments(at, end)

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from scanlake.dims import EXPLICIT_LE
+from scanlake.dims import EXPLICIT_LE, MAX_ELEMENTS
 from scanlake.findings import worst
 from scanlake.operators import disarm, pixels
 from scanlake.plans import scan as plans
@@ -139,6 +139,20 @@ def test_walker_survives_damage(seed, hits, end):
     assert row["pixel_len"] is None or row["pixel_len"] <= len(data) + 8 * len(data)
 
 
+@pytest.mark.parametrize("nested_ones", [False, True])
+def test_elements_behind_many_others_are_read(spark, nested_ones):
+    """The cap on elements is the length walk's alone: what stands behind more of them is found, kept and listed."""
+    many = [writer.element((0x0008, 0x0104), "x", "LO")] * (MAX_ELEMENTS + 10)
+    front = [writer.element((0x0008, 0x1140), [many], "SQ")] if nested_ones else many
+    data = fixtures.plain(more=[*front, *fixtures.private(b"\x7fELF" + b"\0" * 60)])
+    frame = spark.createDataFrame([("a", "a", len(data), data)], "file_id string, filename string, file_size long, content binary")
+    report = plans.scan(frame, as_of=AS_OF).first()
+    assert report["parse_error"] is None and report["pixel_len"] == len(fixtures.slice_pixels())
+    assert "critical" in {f["severity"] for f in report["findings"] if f["check"] == "private_tag_payload"}
+    assert plans.disarm_or_quarantine(frame, as_of=AS_OF).first()["action"] == "disarmed"
+    assert dicom.elements(frame).count() == MAX_ELEMENTS + 10 + nested_ones + len(dicom.parse(fixtures.plain(more=fixtures.private(b"\0" * 64))).elements) + 4
+
+
 HEADERS = {
     "clean": (dict(PatientName="", PatientID="", InstitutionName=None, StationName=None, BodyPartExamined="ABDOMEN"), 0, "MINIMAL"),
     "residual": (dict(StationName=None, PatientBirthDate=None, InstitutionName="General"), 45, "MODERATE"),
