@@ -23,6 +23,8 @@ from scanlake.functions.binary import element_text, payload_threat
 
 #: Inflated bytes of a deflated data set that are read at most; a data set that holds more is a parse error.
 INFLATE_CAP = 256 * 1024**2
+#: Bytes of the largest file whose content Spark's binary source gives.
+CONTENT_MOST = 2**31 - 1
 
 # --- fixed values: attributes that rules read besides the profile and free-text tags: tag, keyword, VR ---
 ATTRIBUTES: list[tuple[int, int, str, str]] = [
@@ -273,12 +275,28 @@ def length_walk(data: bytes) -> tuple[str, int, int, int]:
     return "ok", off, 0, 0
 
 
-def scan_files(spark: SparkSession, path: str, glob: str = "*.dcm", most_bytes: int | None = 500 * 1024**2) -> DataFrame:
-    """(file_id, filename, file_size, content): files below ``path`` or one file. Empty and larger files are left out if ``most_bytes`` is set."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+def _empty_files(spark: SparkSession, source: DataFrame) -> DataFrame:
+    """(file_id) of the empty files: Spark's driver lists them, but gives no rows for them."""
+    listed = spark.createDataFrame([(p,) for p in source.inputFiles()], "value string")
+    # the list has encoded URIs, rows have plain paths
+    path = F.regexp_replace(F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B"))), "^file:///", "file:/")
+    return listed.select(path.alias("file_id")).join(source.select(F.col("path").alias("file_id")), "file_id", "left_anti")
+
+
+def scan_files(spark: SparkSession, path: str, glob: str = "*.dcm", most_bytes: int | None = None, empty: bool = False) -> DataFrame:
+    """(file_id, filename, file_size, content): files below ``path`` or one file, of any size; larger ones are left out if ``most_bytes`` is set.
+
+    With ``empty``, empty files have a row too, which a scan reports as unreadable; without it they are left out.
+    Files over ``CONTENT_MOST`` bytes can't be a value of a row: their content is null, and a scan reports them as unreadable.
+    """
+    files = source = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     if most_bytes is not None:
-        files = files.filter(F.col("length").between(1, most_bytes))
-    return files.select(F.col("path").alias("file_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("file_size"), "content")
+        files = files.filter(F.col("length") <= most_bytes)
+    columns = [F.col("path").alias("file_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("file_size")]
+    # the source fails on contents beyond that size, unless it isn't asked for them
+    beyond = files.filter(F.col("length") > CONTENT_MOST).select(*columns, F.lit(None).cast("binary").alias("content"))
+    found = files.filter(F.col("length") <= CONTENT_MOST).select(*columns, "content").union(beyond)
+    return found.union(_empty_files(spark, source).select("file_id", F.element_at(F.split("file_id", "/"), -1), F.lit(0).cast("long"), F.lit(b""))) if empty else found
 
 
 PARSED = (

@@ -109,6 +109,23 @@ def test_sandbox_blames_the_right_file():
     assert [r for _, r in got] == ["ok", "crash(sig11)", "not decodable", "ok"] and got[0][0] == got[3][0] == fixtures.slice_pixels()
 
 
+def test_a_folder_scan_reports_every_file(spark, tmp_path, monkeypatch):
+    """Files over 500 MB are scanned; empty ones, and ones too large for a row, are reported as unreadable."""
+    (tmp_path / "a.dcm").write_bytes(fixtures.plain())
+    (tmp_path / "a b+ü%.dcm").write_bytes(fixtures.plain())
+    (tmp_path / "empty.dcm").write_bytes(b"")
+    with open(tmp_path / "large.dcm", "wb") as f:
+        f.write(fixtures.plain())
+        f.truncate(500 * 1024**2 + 1)  # sparse
+    assert {r["filename"] for r in dicom.scan_files(spark, str(tmp_path)).select("filename").collect()} == {"a.dcm", "a b+ü%.dcm", "large.dcm"}
+    monkeypatch.setattr(dicom, "CONTENT_MOST", 2**20)
+    reports = {r["filename"]: r for r in plans.scan(dicom.scan_files(spark, str(tmp_path), empty=True), as_of=AS_OF).collect()}
+    assert set(reports) == {"a.dcm", "a b+ü%.dcm", "empty.dcm", "large.dcm"} and reports["large.dcm"]["file_size"] == 500 * 1024**2 + 1
+    read = {k: {f["severity"] for f in r["findings"] if f["check"] == "file_read"} for k, r in reports.items()}
+    assert read == {"a.dcm": set(), "a b+ü%.dcm": set(), "empty.dcm": {"critical"}, "large.dcm": {"critical"}}
+    assert {r["file_id"].rsplit("/", 1)[1]: r["action"] for r in plans.disarm_or_quarantine(dicom.scan_files(spark, str(tmp_path), empty=True), as_of=AS_OF).collect()} == {"a.dcm": "clean", "a b+ü%.dcm": "clean", "empty.dcm": "quarantined", "large.dcm": "quarantined"}
+
+
 def test_elements_are_flat(spark, files):
     rows = dicom.elements(files.filter("filename IN ('nesting_3.dcm', 'plain_implicit.dcm', 'plain_big_endian.dcm')")).collect()
     deep = [r for r in rows if r["file_id"].endswith("nesting_3.dcm")]
