@@ -12,12 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import scratch_path, table
+from scanlake.llm.common import scratch_path, table, written
 from scanlake.llm.linededup import dedup_lines
 from scanlake.llm.packing import pack
 from scanlake.llm.pii import redact
 from scanlake.llm.quality import judge
-from scanlake.llm.simhash import near_duplicates
+from scanlake.llm.simhash import fingerprints, rooted
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,14 +34,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 3: of each SimHash component one document stays, the one with the smallest id.
+    """Stage 3: of each SimHash component one row stays, the one with the smallest id, and of those the smallest hash of its text.
 
-    Rows that repeat that id are cut down to one. Rows without an id can't be named as a group's document;
-    they all stay.
+    Rows without an id come after all others. Rows that agree in id and text are one document.
     """
-    docs = docs.select(*COLUMNS)
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.filter("doc_id IS NULL"))
+    keys = ["_missing", "_id", "_text"]
+    docs = docs.select(*COLUMNS).withColumns({"_missing": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_text": F.xxhash64("text")})
+    prints = written(fingerprints(docs, also=("_text",)), "simhash")
+    rank = F.struct(F.col("doc_id").isNull().alias("_missing"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "_text")
+    kept = rooted(prints, F.min(rank)).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    return docs.join(kept, keys, "left_semi").dropDuplicates(keys).select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlake.llm.common import table, text_bytes, written
@@ -60,17 +60,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row; ``fp`` is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) for every row, and the long columns ``also``; ``fp`` is the fingerprint as a signed long."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 b = whole.slice(i, 512)
                 fps = np.array([fingerprint(x) for x in text_bytes(b.column(1))], np.uint64)
-                yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *also])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *also).mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{c} long" for c in also]]))
 
 
 _SUBSETS = list(combinations(range(8), MIN_SHARED))
@@ -193,12 +193,17 @@ def _roots(stars: DataFrame) -> DataFrame:
     return stars.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def rooted(prints: DataFrame, first: Column) -> DataFrame:
+    """(fp, first, root) of the distinct fingerprints of ``prints``: an aggregate of each one's rows, and its component."""
+    nodes = written(prints.groupBy("fp").agg(first.alias("first")), "simhash-nodes")
+    roots = components(near_links(nodes), "simhash-cc")
+    return written(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) per row of ``docs``."""
     prints = written(fingerprints(docs, id_col, text_col), "simhash")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    roots = components(near_links(nodes), "simhash-cc")
-    roots = written(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    roots = rooted(prints, F.min("doc_id"))
     lowest = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = roots.join(lowest, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -64,3 +64,13 @@ def test_empty(spark):
     for _, stage in pipeline.STAGES:
         frame = stage(spark, frame, "")
         assert frame.collect() == []
+
+
+def test_near_dups_keep_one_row_per_component(spark):
+    """Two texts that share an id are two documents, and copies without an id are one."""
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b), (2, b), (5, a), (None, c), (None, c), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = pipeline.near_dups(spark, docs, "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(1, a), (1, b), (None, c)], key=str)
