@@ -11,12 +11,14 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanlake.findings import finding, first_of
 
 TREES, DEPTH, LEAF, SEED, FOLDS = 500, 20, 3, 42, 5
+#: Parts of a label in which rows are numbered.
+PARTS = 256
 
 
 def feature_names(rows: DataFrame, column: str = "features") -> list[str]:
@@ -61,10 +63,23 @@ def probability(model: PipelineModel, rows: DataFrame, names: list[str]) -> Data
     return scored.select(*rows.columns, vector_to_array("probability")[1].alias("probability"))
 
 
+def stratified(rows: DataFrame, key: str, folds: int = FOLDS, label: str = "label") -> DataFrame:
+    """``rows`` with ``fold``: their numbers modulo ``folds`` in hash order within each label.
+
+    Rows are numbered in parts of a label, by hash, so no task has to sort all of it; a part starts where those before it end.
+    """
+    parted = rows.withColumn("_hash", F.xxhash64(key, F.lit(SEED))).withColumn("_part", F.pmod("_hash", F.lit(PARTS)))
+    sizes = parted.groupBy(label, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(label).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(label, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    number = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_hash", key))
+    numbered = parted.withColumn("_number", number).join(F.broadcast(starts), [label, "_part"])
+    return numbered.select(*rows.columns, F.pmod(F.col("_start") + F.col("_number"), F.lit(folds)).cast("int").alias("fold"))
+
+
 def cross_validated(rows: DataFrame, key: str, names: list[str], folds: int = FOLDS, **options) -> DataFrame:
     """Out-of-fold probabilities; folds are stratified by label through a hash order within each class."""
-    fold = F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(folds)).cast("int")
-    marked = rows.withColumn("fold", fold)
+    marked = stratified(rows, key, folds)
     out = None
     for k in range(folds):
         test = marked.filter(F.col("fold") == k)

@@ -38,3 +38,11 @@ def test_all_techniques_change_an_image(spark):
 def test_matrix_fills(spark):
     rows = spark.createDataFrame([(1, {"a": 1.0}), (2, {"b": float("nan")}), (3, None)], "k int, features map<string, double>")
     assert [tuple(r)[2:] for r in learning.matrix(rows, ["a", "b"]).orderBy("k").collect()] == [(1.0, 0.0), (0.0, 0.0), (0.0, 0.0)]
+
+
+def test_folds_are_stratified(spark):
+    """Each label's rows are spread over the folds to within one."""
+    rows = spark.createDataFrame([(f"k{i}", int(i < 7)) for i in range(60)], "k string, label int")
+    got = {(r["label"], r["fold"]): r["count"] for r in learning.stratified(rows, "k").groupBy("label", "fold").count().collect()}
+    assert sorted(got) == [(y, k) for y in (0, 1) for k in range(5)]
+    assert {n for (y, _), n in got.items() if y} == {1, 2} and {n for (y, _), n in got.items() if not y} == {10, 11}
