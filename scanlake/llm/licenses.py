@@ -91,8 +91,13 @@ class Searcher:
         found = []
         for i, ranges in windows.items():
             for lo, hi, _ in ranges:
-                for m in self.patterns[i].finditer(text, lo, hi):
-                    found.append((m.start(), m.end(), i, sum(m.fuzzy_counts)))
+                # a search gives the best match of a range; others stand before and after it
+                ranges_left = [(lo, hi)]
+                while ranges_left:
+                    a, b = ranges_left.pop()
+                    if m := self.patterns[i].search(text, a, b):
+                        found.append((m.start(), m.end(), i, sum(m.fuzzy_counts)))
+                        ranges_left += [(a, m.start()), (m.end(), b)]
         return sorted(found)
 
 

@@ -118,3 +118,9 @@ def test_reliabilities_find_the_bad_labeler():
     _, table = pii.reliabilities(counts)
     right = [(table[k, 0, 0] + table[k, 1, 1]) / 2 for k in range(4)]
     assert min(right[:3]) > 0.85 and right[3] < 0.6
+
+
+def test_inexact_notices_before_an_exact_one():
+    """All notices of a merged window are found, not only those behind its best one."""
+    found = licenses.Searcher({"licensed under cc by": "cc"}, 20).find("licensed undr cc by licensed under cc by licenced under cc by")
+    assert [(e, d) for _, e, _, d in found] == [(19, 1), (40, 0), (61, 1)]
