@@ -6,7 +6,7 @@ finding is an empty array. Everything here is Catalyst expressions; rollups are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanlake.dims import SEVERITIES, VERDICTS
@@ -114,11 +114,26 @@ def category_prevalence(rows: DataFrame, key: str, check: str = "check", severit
 
 
 def check_severity_pivot(rows: DataFrame, key: str, check: str = "check", severity: str = "severity", examples: int = 5) -> DataFrame:
-    """Per check: findings of each severity, false-positive candidates (fail and critical), and the first few of their files."""
-    s = F.col(severity)
+    """Per check: findings of each severity, false-positive candidates (fail and critical), and the first few of their files.
+
+    Only the first files of a check are gathered: they are ranked among its distinct ones, of which each task keeps that many.
+    """
+    s, name = F.col(severity), F.col(check).alias("check")
     bad = severity_rank(s) >= 3
-    return rows.groupBy(F.col(check).alias("check")).agg(
-        *[F.count_if(s == name).alias(f"n_{name}") for name in SEVERITIES],
-        F.count_if(bad).alias("n_blocking"),
-        F.slice(F.sort_array(F.collect_set(F.when(bad, F.col(key)))), 1, examples).alias("examples"),
-    )
+    counted = rows.groupBy(name).agg(*[F.count_if(s == x).alias(f"n_{x}") for x in SEVERITIES], F.count_if(bad).alias("n_blocking"))
+    order = F.row_number().over(Window.partitionBy("check").orderBy("_key"))
+    first = rows.filter(bad).select(name, F.col(key).alias("_key")).distinct().withColumn("_r", order).filter(F.col("_r") <= examples)
+    named = first.groupBy(F.col("check").alias("_check")).agg(F.sort_array(F.collect_list("_key")).alias("examples"))
+    none = F.array().cast(rows.select(F.array(key)).schema[0].dataType)
+    return counted.join(named, F.col("check").eqNullSafe(F.col("_check")), "left").drop("_check").withColumn("examples", F.coalesce("examples", none))
+
+
+def action_distribution(rows: DataFrame, action: str = "action") -> DataFrame:
+    """Files per action; those without one were scanned only."""
+    return rows.groupBy(F.coalesce(F.col(action), F.lit("scanned")).alias("action")).agg(F.count("*").alias("n"))
+
+
+def first_dangerous(reports: DataFrame, most: int = 20, path: str = "file_id") -> DataFrame:
+    """The first dangerous files by path, a report: (path, overall, and the checks that failed)."""
+    bad = F.array_distinct(F.transform(F.filter("findings", lambda f: f["severity"].isin("fail", "critical")), lambda f: f["check"]))
+    return reports.filter(dangerous(F.col("findings"))).select(path, F.col("summary.overall").alias("overall"), bad.alias("checks")).orderBy(path).limit(most)

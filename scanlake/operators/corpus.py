@@ -35,34 +35,60 @@ def phi_matches(text: Column, leave_out: tuple[str, ...] = ()) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike("(?U)" + p), F.lit(n)) for n, p in PHI_PATTERNS if n not in leave_out]))
 
 
-def baselines(long: DataFrame, by: list[str], value: str = "value", least: int = 3) -> DataFrame:
-    """Mean, population deviation, exact quantiles (linear between ranks) and count of finite values per group of at least ``least``.
+#: Rank error of the sketch that finds where a quantile lies, as a part of the rows.
+SKETCH = 10_000
+
+
+def _finite(long: DataFrame, value: str) -> DataFrame:
+    v = F.col(value)
+    return long.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+
 
-    Exact percentiles buffer one entry per distinct value of a group; NaN and infinities are left out.
+def quantiles(finite: DataFrame, by: list[str], value: str, asked: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear between ranks) per group, without sorting or buffering a group in one task.
+
+    A mergeable sketch brackets each quantile. Values within a bracket, some ten-thousandths of a group (all of a small one), are counted
+    one by one, all others by the bracket that they lie behind; both combine on the map side, and what is left is cumulated. ``finite`` is read twice.
     """
+    margin, v = 3.0 / SKETCH, F.col(value)
+    at = [min(1.0, max(0.0, q + d)) for q in asked.values() for d in (-margin, margin)]
+    sketch = finite.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx(v, at, SKETCH).alias("_b"))
+    small = F.col("_n") < 2 * SKETCH  # ranks are rounded, so the bracket must be some of them wide
+    lo, hi = ([F.when(small, end).otherwise(F.get("_b", F.lit(2 * i + k))) for i in range(len(asked))] for k, end in enumerate((-float("inf"), float("inf"))))
+    inside = F.coalesce(*[F.when((v >= a) & (v <= b), True) for a, b in zip(lo, hi, strict=True)], F.lit(False))
+    behind = F.array_max(F.array(F.lit(-float("inf")), *[F.when(v > b, b) for b in hi]))
+    counted = finite.join(sketch, by).groupBy(*by, "_n", F.when(inside, v).otherwise(behind).alias("_v"), (~inside).alias("_rest")).agg(F.count("*").alias("_c"))
+    order = Window.partitionBy(*by).orderBy("_v", "_rest").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_upto", F.sum("_c").over(order))
+    rank = lambda q: (F.col("_n") - 1) * q
+    pick = lambda r: F.min(F.when((F.col("_upto") > r) & ~F.col("_rest"), F.col("_v")))
+    picked = ranked.groupBy(*by, "_n").agg(*[x for k, q in asked.items() for x in (pick(F.floor(rank(q))).alias(f"_a_{k}"), pick(F.ceil(rank(q))).alias(f"_b_{k}"))])
+    return picked.select(*by, *[(F.col(f"_a_{k}") + (F.col(f"_b_{k}") - F.col(f"_a_{k}")) * (rank(q) - F.floor(rank(q)))).alias(k) for k, q in asked.items()])
+
+
+def moments(long: DataFrame, by: list[str], value: str = "value", least: int = 3) -> DataFrame:
+    """Mean, population deviation, extremes and count of finite values per group of at least ``least``; NaN and infinities are left out."""
     v = F.col(value)
-    finite = long.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return (
-        finite.groupBy(*by)
-        .agg(
-            F.mean(v).alias("mean"), F.stddev_pop(v).alias("std"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"),
-            F.percentile(v, 0.05).alias("p5"), F.percentile(v, 0.95).alias("p95"), F.count("*").alias("n"),
-        )
-        .filter(F.col("n") >= least)
-    )
+    return _finite(long, value).groupBy(*by).agg(F.mean(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+def baselines(long: DataFrame, by: list[str], value: str = "value", least: int = 3) -> DataFrame:
+    """``moments`` and the exact median and 5th and 95th percentiles."""
+    marks = quantiles(_finite(long, value), by, value, {"median": 0.5, "p5": 0.05, "p95": 0.95})
+    return moments(long, by, value, least).join(marks, by).select(*by, "mean", "std", "median", "min", "max", "p5", "p95", "n")
 
 
 def zscores(long: DataFrame, base: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """``long`` joined with its baseline and ``z``; features without a baseline or with zero deviation are left out."""
+    """``long`` joined with its baseline (``moments`` suffice) and ``z``; features without a baseline or with zero deviation are left out."""
     return long.join(base.select(*by, "mean", "std"), by).filter("std > 0").withColumn("z", F.abs(F.col(value) - F.col("mean")) / F.col("std"))
 
 
 def anomalies(scored: DataFrame, key: list[str], tie: list[str], limit: float = 3.0) -> DataFrame:
     """Per key: how many values lie beyond ``limit`` deviations and the worst of them, ties by ``tie``."""
     out = scored.filter(F.col("z") > limit)
-    first = Window.partitionBy(*key).orderBy(F.desc("z"), *tie)
-    worst = out.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
-    return worst.join(out.groupBy(*key).agg(F.count("*").alias("n_anomalies")), key)
+    rest = [c for c in out.columns if c not in key]
+    worst = out.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(-F.col("z"), *tie)).alias("_worst"), F.count("*").alias("n_anomalies"))
+    return worst.select(*key, "_worst.*", "n_anomalies")
 
 
 def rates(rows: DataFrame, by: list[str], hit: Column) -> DataFrame:

@@ -1,36 +1,44 @@
 """Content disarm and reconstruction: gates, decoding in a child process, private-element filter, rewriting, re-scan.
 
-Files that are no candidates never reach the decoder: the gates are a filter on parsed columns, before the batch operator
-that decodes. Encapsulated pixels are decoded by a child process with limits on memory, CPU and time, so a crash or a
-hang there ends in quarantine, not in a failed task. Only RLE and deflate have decoders here; every other
-compressed syntax is quarantined.
+All of it is one pass over the files: what is parsed keeps its contents, the gates are Columns on the same row, and only
+contents that pass them go on to the operator that rebuilds. Nothing is shuffled, and nothing is read twice.
+
+Compressed pixels are decoded by a child process with limits on memory, CPU and time, so a crash or a hang
+there ends in quarantine, not in a failed task. A task keeps one such process as long as it behaves. Only RLE and deflate
+have decoders here; every other compressed syntax is quarantined.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import select
 import subprocess
 import sys
-import tempfile
+import time
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from scanlake.dims import DEFLATED_LE, EXPLICIT_LE, IMPLICIT_LE, LOSSLESS_ENCAPSULATED, NATIVE_FOR_REBUILD, RLE, SAFE_CREATORS
 from scanlake.findings import dangerous
-from scanlake.functions.binary import payload_threat
+from scanlake.functions.payloads import payload_threat
 from scanlake.operators import security
-from scanlake.scratch import written
-from scanlake.sources.dicom import PIXELS, Element, parse
+from scanlake.operators.decoding import MEMORY, native_pixels
+from scanlake.sources import dicom
+from scanlake.sources.walker import PIXELS, Element, parse
 from scanlake.sources.writer import data_set, part10
 
-TIMEOUT, MEMORY, CPU, BATCH = 30, 2 * 1024**3, 30, 32
+#: Seconds for one file in a decoder process.
+TIMEOUT = 30
+#: Rebuilt files and bytes of them that go on together at most.
+BATCH, BATCH_BYTES = 64, 32 * 1024**2
 #: Compressed syntaxes that can be decoded here.
 DECODABLE = [DEFLATED_LE, RLE]
-WORKER = "import sys; from scanlake.operators.disarm import decode_worker; decode_worker(sys.argv[1], sys.argv[2])"
+WORKER = "from scanlake.operators.decoding import main; main()"
 
 
 def source_is_lossless(syntax: Column) -> Column:
@@ -62,76 +70,103 @@ def filter_private(elements: list[Element], allowed: Iterable[str] = SAFE_CREATO
     return [x for x in kept if x.tag not in gone], removed + orphans
 
 
-def decode_worker(source: str, target: str) -> None:
-    """In the child process: decode the files of folder ``source`` one by one into ``target``; an undecodable one leaves no bytes there."""
-    from scanlake.operators.pixels import native_pixels
-
-    for name in sorted(os.listdir(source), key=int):
-        with open(os.path.join(source, name), "rb") as f:
-            raw = native_pixels(parse(f.read()))
-        with open(os.path.join(target, name + ".part"), "wb") as f:
-            f.write(raw or b"")
-        os.rename(os.path.join(target, name + ".part"), os.path.join(target, name))
-
-
-def _limits() -> None:
-    import resource
-
-    resource.setrlimit(resource.RLIMIT_AS, (MEMORY, MEMORY))
-    resource.setrlimit(resource.RLIMIT_CPU, (CPU, CPU))
-
-
-def _child(files: list[bytes], timeout: float, worker: str) -> tuple[list[bytes | None], str]:
-    """Results of the files that a child got to (null: not reached), and how it ended."""
-    with tempfile.TemporaryDirectory() as folder:
-        source, target = os.path.join(folder, "in"), os.path.join(folder, "out")
-        os.mkdir(source)
-        os.mkdir(target)
-        for i, data in enumerate(files):
-            with open(os.path.join(source, str(i)), "wb") as f:
-                f.write(data)
+class Sandbox:
+    """Decoder processes, one at a time, started when needed; an answer is a file's native pixels or the reason why there are none."""
+
+    def __init__(self, timeout: float = TIMEOUT, worker: str = WORKER) -> None:
+        self.timeout, self.worker, self.child, self.served = timeout, worker, None, 0
+
+    def __enter__(self) -> "Sandbox":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._end()
+
+    def pixels(self, data: bytes) -> tuple[bytes | None, str]:
+        """(native pixels or null, reason). A file at which a process that served others before fails is tried once more in a fresh one, which tells whether it is to blame."""
+        before = self.served
+        raw, how = self._ask(data)
+        if raw is None and before:
+            raw, how = self._ask(data)
+        return (raw, "ok") if raw else (None, how if raw is None else "not decodable")
+
+    def _end(self) -> int | None:
+        child, self.child, self.served = self.child, None, 0
+        if child is None:
+            return None
+        child.kill()  # nothing happens to one that has ended by itself
+        code = child.wait()
+        child.stdin.close()
+        child.stdout.close()
+        return code
+
+    def _ask(self, data: bytes) -> tuple[bytes | None, str]:
+        if self.child is None:
+            self.child = subprocess.Popen([sys.executable, "-c", self.worker], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, bufsize=0, env=os.environ | {"PYTHONPATH": os.pathsep.join(filter(None, sys.path))})
+            os.set_blocking(self.child.stdin.fileno(), False)
         try:
-            done = subprocess.run([sys.executable, "-c", worker, source, target], timeout=timeout, capture_output=True, preexec_fn=_limits, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)}, check=False)
-            how = "ok" if not done.returncode else f"crash(sig{-done.returncode})" if done.returncode < 0 else f"failed({done.returncode})"
-        except subprocess.TimeoutExpired:
-            how = "hung"
-        got: list[bytes | None] = []
-        for i in range(len(files)):
-            path = os.path.join(target, str(i))
-            got.append(open(path, "rb").read() if os.path.exists(path) else None)
-        return got, how
+            raw = self._exchange(data)
+        except TimeoutError:
+            self._end()
+            return None, "hung"
+        if raw is None:
+            try:
+                code = self.child.wait(1)  # its output has ended, so it has or is about to
+            except subprocess.TimeoutExpired:
+                code = None
+            self._end()
+            return None, "no output" if not code else f"crash(sig{-code})" if code < 0 else f"failed({code})"
+        self.served += 1
+        return raw, "ok"
+
+    def _exchange(self, data: bytes) -> bytes | None:
+        """Send a file and take the answer, both as they come; null if the process ends before."""
+        source, target = self.child.stdout.fileno(), self.child.stdin.fileno()
+        poll, until = select.poll(), time.monotonic() + self.timeout
+        poll.register(source, select.POLLIN)
+        poll.register(target, select.POLLOUT)
+        parts, got, need = [memoryview(len(data).to_bytes(8, "little")), memoryview(data)], bytearray(), 8
+        while len(got) < need:
+            events = poll.poll(max(0, until - time.monotonic()) * 1000)
+            if not events:
+                raise TimeoutError
+            for fd, _ in events:
+                if fd == target:
+                    try:
+                        parts[0] = parts[0][os.write(target, parts[0]) :]
+                    except BrokenPipeError:
+                        parts = []  # the process has ended; what it still said is read
+                    while parts and not parts[0]:
+                        parts.pop(0)
+                    if not parts:
+                        poll.unregister(target)
+                elif more := os.read(source, 1 << 20):
+                    got += more
+                    if need == 8 <= len(got):
+                        need += int.from_bytes(got[:8], "little")
+                        if need > MEMORY:
+                            return None  # no decoder within its limits gives that much
+                else:
+                    return None
+        return bytes(got[8:need])
 
 
 def sandboxed_pixels(files: list[bytes], timeout: float = TIMEOUT, worker: str = WORKER) -> list[tuple[bytes | None, str]]:
-    """(native pixels or null, reason) of each file, from child processes.
-
-    One child takes all files. Where it crashes or hangs, the file it was at is tried once more alone, which
-    tells whether it is to blame; another child takes the files after it.
-    """
-    out: list[tuple[bytes | None, str]] = []
-    while len(out) < len(files):
-        got, how = _child(files[len(out) :], timeout, worker)
-        for raw in got:
-            if raw is None:
-                break
-            out.append((raw, "ok") if raw else (None, "not decodable"))
-        if len(out) < len(files):
-            if len(got) > 1:
-                (alone,), how = _child([files[len(out)]], timeout, worker)
-            else:
-                alone = None
-            out.append((None, "no output" if how == "ok" else how) if alone is None else (alone, "ok") if alone else (None, "not decodable"))
-    return out
+    """(native pixels or null, reason) of each file, from decoder processes."""
+    with Sandbox(timeout, worker) as box:
+        return [box.pixels(x) for x in files]
 
 
-def rebuild(data: bytes, strip_private: bool = True, decoded: tuple[bytes | None, str] | None = None) -> dict:
-    """A file's clean copy: ``output`` or ``error``, ``changes``, ``private_removed``, ``transcoded``, ``image_preserved``.
+def rebuild(data: bytes, strip_private: bool = True, sandbox: Sandbox | None = None) -> dict:
+    """A file's clean copy: ``output`` or ``error``, ``changes``, ``private_removed``, ``transcoded``, ``image_preserved``."""
+    out = {"output": None, "changes": [], "private_removed": 0, "transcoded": False, "image_preserved": None, "error": None}
+    try:
+        return _rebuilt(data, strip_private, sandbox, out)
+    except Exception as e:  # noqa: BLE001  what can't be rebuilt is quarantined, and the others go on
+        return out | {"output": None, "error": f"not rebuilt: {type(e).__name__}: {e}"[:200]}
 
-    ``decoded`` is the sandbox's result for a file with encapsulated pixels, if it was asked already.
-    """
-    from scanlake.operators.pixels import native_pixels
 
-    out = {"output": None, "changes": [], "private_removed": 0, "transcoded": False, "image_preserved": None, "error": None}
+def _rebuilt(data: bytes, strip_private: bool, sandbox: Sandbox | None, out: dict) -> dict:
     p = parse(data)
     syntax, elements = p.syntax, p.elements
     if p.error:
@@ -139,7 +174,7 @@ def rebuild(data: bytes, strip_private: bool = True, decoded: tuple[bytes | None
     if syntax and syntax not in NATIVE_FOR_REBUILD:
         if syntax not in DECODABLE:
             return out | {"error": f"not decoded: no decoder for {syntax}"}
-        pixels, reason = decoded or sandboxed_pixels([data])[0]
+        pixels, reason = sandbox.pixels(data) if sandbox else sandboxed_pixels([data])[0]
         if pixels is None:
             return out | {"error": f"not decoded: {reason}"}
         out["transcoded"], out["changes"] = True, [f"{syntax} to {EXPLICIT_LE}"]
@@ -159,42 +194,58 @@ def rebuild(data: bytes, strip_private: bool = True, decoded: tuple[bytes | None
 
 
 REBUILT = "output binary, changes array<string>, private_removed int, transcoded boolean, image_preserved boolean, error string"
+REBUILT_FIELDS = [("output", pa.binary()), ("changes", pa.list_(pa.string())), ("private_removed", pa.int32()), ("transcoded", pa.bool_()), ("image_preserved", pa.bool_()), ("error", pa.string())]
 
 
-def disarm(files: DataFrame, parsed: DataFrame, strip_private: bool = True) -> DataFrame:
-    """(file_id, ``REBUILT``, source_lossy) of every file of ``files`` (with ``content``) and their ``parsed`` rows.
-
-    ``source_lossy`` is null for native sources. Files without pixels, or with a length or allocation bomb, aren't read.
-    """
+def refused() -> Column:
+    """Why a parsed file isn't rebuilt at all; null if it may be. Files without pixels, or with a length or allocation bomb, aren't."""
     blocking = dangerous(F.concat(security.pixel_dimension_bomb(), security.length_amplification()))
+    why = F.when(F.col("parse_error").isNotNull(), F.concat(F.lit("unreadable: "), F.col("parse_error"))).when(F.col("pixel_len").isNull(), "no image").when(blocking, "allocation or length bomb")
+    return F.concat(F.lit("not disarmed: "), why)
+
+
+def source_lossy() -> Column:
+    """Whether a parsed file's syntax has lost what was acquired; null for native ones."""
     syntax = F.coalesce("syntax", F.lit(""))
-    gates = parsed.select(
-        "file_id",
-        F.when(F.col("parse_error").isNotNull(), F.concat(F.lit("unreadable: "), F.col("parse_error"))).when(F.col("pixel_len").isNull(), "no image").when(blocking, "allocation or length bomb").alias("_refused"),
-        F.when((syntax == "") | syntax.isin(NATIVE_FOR_REBUILD), None).otherwise(~source_is_lossless(syntax)).alias("source_lossy"),
-    )
-    gated = written(gates, "gated")
-    types = [pa.binary(), pa.list_(pa.string()), pa.int32(), pa.bool_(), pa.bool_(), pa.string()]
-    names = ["output", "changes", "private_removed", "transcoded", "image_preserved", "error"]
+    return F.when((syntax == "") | syntax.isin(NATIVE_FOR_REBUILD), None).otherwise(~source_is_lossless(syntax))
+
+
+def rebuilt(rows: DataFrame, strip_private: bool = True, rescan: bool = False) -> DataFrame:
+    """``rows`` with ``REBUILT`` in place of ``content``; nulls where the content is null. With ``rescan`` also ``sha256``, ``preamble`` and ``dicom.PARSED`` of the copies."""
+    fields, at = list(REBUILT_FIELDS), rows.columns.index("content")
+    keep = [f for f in rows.schema if f.name != "content"]
+    if rescan:
+        fields += [("sha256", pa.string()), ("preamble", pa.binary()), *dicom.PARSED_FIELDS]
+    nothing = dict.fromkeys([k for k, _ in fields])
+
+    def copy(data: bytes | None, box: Sandbox) -> dict:
+        if data is None:
+            return nothing
+        made = rebuild(data, strip_private, box)
+        if not rescan or made["output"] is None:
+            return nothing | made
+        return made | {"sha256": hashlib.sha256(made["output"]).hexdigest(), "preamble": made["output"][:132]} | dicom.describe(made["output"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, BATCH):
-                part = b.slice(i, BATCH)
-                contents = [x or b"" for x in part.column(2).to_pylist()]
-                closed = [k for k, x in enumerate(contents) if parse(x[:4096]).syntax in DECODABLE]
-                decoded = dict(zip(closed, sandboxed_pixels([contents[k] for k in closed]), strict=True)) if closed else {}
-                for k, x in enumerate(contents):
-                    made = rebuild(x, strip_private, decoded.get(k))
-                    yield pa.record_batch([*(c.slice(k, 1) for c in part.columns[:2]), *[pa.array([made[n]], t) for n, t in zip(names, types, strict=True)]], names=["file_id", "source_lossy", *names])
-
-    ready = files.select("file_id", "content").join(gated.filter("_refused IS NULL"), "file_id").select("file_id", "source_lossy", "content")
-    made = ready.mapInArrow(run, f"file_id string, source_lossy boolean, {REBUILT}")
-    refused = gated.filter("_refused IS NOT NULL").select(
-        "file_id", "source_lossy", F.lit(None).cast("binary").alias("output"), F.array().cast("array<string>").alias("changes"), F.lit(0).alias("private_removed"), F.lit(False).alias("transcoded"),
-        F.lit(None).cast("boolean").alias("image_preserved"), F.concat(F.lit("not disarmed: "), F.col("_refused")).alias("error"),
-    )
-    return made.unionByName(refused)
+        with Sandbox() as box:
+            for b in batches:
+                others, done, size, start = [c for i, c in enumerate(b.columns) if i != at], [], 0, 0
+                for i, content in enumerate(b.column(at)):
+                    done.append(copy(content.as_py(), box))
+                    size += len(done[-1]["output"] or b"")
+                    if len(done) == BATCH or size > BATCH_BYTES or i == b.num_rows - 1:
+                        yield pa.record_batch([*[c.slice(start, len(done)) for c in others], *[pa.array([r[k] for r in done], t) for k, t in fields]], names=[*[f.name for f in keep], *[k for k, _ in fields]])
+                        done, size, start = [], 0, i + 1
+
+    more = StructType.fromDDL(", ".join([REBUILT, *(["sha256 string, preamble binary", dicom.PARSED] if rescan else [])]))
+    return rows.mapInArrow(run, StructType([*keep, *more.fields]))
+
+
+def disarm(files: DataFrame, strip_private: bool = True) -> DataFrame:
+    """(file_id, syntax, ``REBUILT``, source_lossy) of every file of ``files`` (with ``content``); one that is refused has an error that says why."""
+    rows = dicom.parsed(files, keep_content=True).select("file_id", "syntax", source_lossy().alias("source_lossy"), refused().alias("_refused"), "content")
+    made = rebuilt(rows.withColumn("content", F.when(F.col("_refused").isNull(), F.coalesce("content", F.lit(b"")))), strip_private)
+    return made.withColumn("error", F.coalesce("_refused", "error")).drop("_refused")
 
 
 def fidelity(row: Column) -> Column:
@@ -210,9 +261,5 @@ def fidelity_bucket() -> Column:
 
 def pixel_hash(data: bytes) -> str | None:
     """SHA-256 of a file's native pixels."""
-    from scanlake.operators.pixels import native_pixels
-
     raw = native_pixels(parse(data))
     return None if raw is None else hashlib.sha256(raw).hexdigest()
-
-

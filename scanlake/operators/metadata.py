@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from scanlake.dims import KNOWN_SYNTAXES, MODALITIES, NATIVE_FOR_SIZE
 from scanlake.findings import finding, findings, first_of, none
-from scanlake.operators.security import attr, number
+from scanlake.functions.binary import let
+from scanlake.operators.security import attr, first_value, number
 
 
 def modality() -> Column:
@@ -29,34 +30,46 @@ def sop_class() -> Column:
 
 
 def expected_pixel_bytes(rows: Column, cols: Column, bits: Column, samples: Column, frames: Column, photometric: Column) -> Column:
-    """Bytes of the uncompressed image: single bits are packed, subsampled colour has fewer samples. A decimal."""
-    big = lambda x: x.cast("decimal(20,0)")
-    px = (big(rows) * big(cols)).cast("decimal(38,0)") * frames.cast("decimal(10,0)")
-    wide = F.floor((bits + 7) / 8).cast("decimal(10,0)")
-    n = samples.cast("decimal(10,0)")
+    """Bytes of the uncompressed image: single bits are packed, subsampled colour has fewer samples. A double: headers can't overflow it."""
+    whole = lambda x: x.cast("double")
+    px, n = whole(rows) * whole(cols) * whole(frames), whole(samples)
+    wide = whole(F.floor((whole(bits) + 7) / 8))
     pi = F.upper(F.coalesce(photometric, F.lit("")))
-    size = F.when(bits == 1, F.floor((px * n + 7) / 8)).when(pi.isin("YBR_FULL_422", "YBR_PARTIAL_422"), px * wide * 2).when(pi == "YBR_PARTIAL_420", F.floor(px * wide * 3 / 2)).otherwise(px * wide * n)
-    return size.cast("decimal(38,0)")
+    packed, two_planes = whole(F.floor((px * n + 7) / 8)), whole(F.floor(px * wide * 3 / 2))
+    return F.when(bits == 1, packed).when(pi.isin("YBR_FULL_422", "YBR_PARTIAL_422"), px * wide * 2).when(pi == "YBR_PARTIAL_420", two_planes).otherwise(px * wide * n)
+
+
+#: Attributes that the size of an image is computed from.
+_SIZES = ("Rows", "Columns", "BitsAllocated", "SamplesPerPixel", "NumberOfFrames")
 
 
 def pixel_dimensions() -> Column:
-    """Stored against declared bytes for uncompressed pixels."""
-    c, stored = "pixel_dimensions", F.col("pixel_len")
-    rows, cols, bits = number("Rows", None), number("Columns", None), number("BitsAllocated", None)
-    expected = expected_pixel_bytes(rows, cols, bits, number("SamplesPerPixel", 1), number("NumberOfFrames", 1), attr("PhotometricInterpretation"))
-    excess = stored - expected
-    told = F.format_string("%d bytes stored, %s declared", stored, expected.cast("string"))
+    """Stored against declared bytes for uncompressed pixels. An attribute with another value than one whole number makes the rule itself fail, which is a warning."""
+    c = "pixel_dimensions"
+    # present, but no whole number: text or several values; samples and frames also without a value
+    odd = [F.when((attr(k) != "") & ~F.trim(attr(k)).rlike("^[+-]?[0-9]+$"), k) for k in _SIZES]
+    odd += [F.when(first_value(k) == "", k) for k in _SIZES[3:]]
+    expected = expected_pixel_bytes(number("Rows", None), number("Columns", None), number("BitsAllocated", None), number("SamplesPerPixel", 1), number("NumberOfFrames", 1), attr("PhotometricInterpretation"))
+    facts = F.struct(F.col("pixel_len").alias("stored"), expected.alias("expected"), F.coalesce(*odd).alias("odd"), number("Rows", None).isNull().alias("no_rows"), number("Columns", None).isNull().alias("no_cols"), number("BitsAllocated", None).isNull().alias("no_bits"))
     native = F.coalesce("syntax", F.lit("")).isin(NATIVE_FOR_SIZE)
-    return first_of(
-        (stored.isNull(), finding(c, "info", "No pixel data")),
-        (rows.isNull() | cols.isNull(), finding(c, "fail", "Pixel data without rows or columns")),
-        (bits.isNull(), finding(c, "fail", "Pixel data without allocated bits")),
-        (~native, finding(c, "info", F.concat(F.lit("Compressed: "), told), "The size can't be checked without decoding.")),
-        (stored + 2 < expected, finding(c, "fail", F.concat(F.lit("Too few bytes: "), told), "A viewer may read past the buffer.")),
-        (excess <= 2, finding(c, "pass", told)),
-        (excess <= F.greatest(expected, F.lit(4096)), finding(c, "pass", F.concat(F.lit("Padded: "), told))),
-        (None, finding(c, "warn", F.concat(F.lit("Unexplained trailer: "), told))),
-    )
+
+    def judged(d: Column) -> Column:
+        stored, expected = d["stored"], d["expected"]
+        excess = stored - expected
+        told = F.format_string("%d bytes stored, %.0f declared", stored, expected)
+        return first_of(
+            (stored.isNull(), finding(c, "info", "No pixel data")),
+            (d["odd"].isNotNull(), finding("check_pixel_dimensions", "warn", F.concat(F.lit("The rule can't be applied: not a whole number in "), d["odd"]))),
+            (d["no_rows"] | d["no_cols"], finding(c, "fail", "Pixel data without rows or columns")),
+            (d["no_bits"], finding(c, "fail", "Pixel data without allocated bits")),
+            (~native, finding(c, "info", F.concat(F.lit("Compressed: "), told), "The size can't be checked without decoding.")),
+            (stored + 2 < expected, finding(c, "fail", F.concat(F.lit("Too few bytes: "), told), "A viewer may read past the buffer.")),
+            (excess <= 2, finding(c, "pass", told)),
+            (excess <= F.greatest(expected, F.lit(4096.0)), finding(c, "pass", F.concat(F.lit("Padded: "), told))),
+            (None, finding(c, "warn", F.concat(F.lit("Unexplained trailer: "), told))),
+        )
+
+    return let(facts, judged)
 
 
 def parsed_date(value: Column) -> Column:
@@ -75,18 +88,24 @@ def dates(as_of: Column) -> Column:
     """Format, future, placeholder and order of the four dates; ``as_of`` is the day that counts as today."""
     c, fields = "dates", ["StudyDate", "SeriesDate", "ContentDate", "AcquisitionDate"]
     raw = {f: F.nullif(F.coalesce(attr(f), F.lit("")), F.lit("")) for f in fields}
-    day = {f: parsed_date(raw[f]) for f in fields}
+    read = F.struct(*[x for f in fields for x in (raw[f].alias(f), parsed_date(raw[f]).alias(f"{f}_day"))], as_of.alias("today"))
     iso = lambda d: F.date_format(d, "yyyy-MM-dd")
-    bad = findings(*[F.when(raw[f].isNotNull() & day[f].isNull(), finding(c, "warn", F.concat(F.lit(f"{f} is no date: "), raw[f]))) for f in fields])
-    some = F.coalesce(*day.values()).isNotNull()
-    issues = F.concat(
-        bad,
-        findings(*[F.when(day[f] > as_of, finding(c, "fail", F.concat(F.lit(f"{f} lies in the future: "), iso(day[f])))) for f in fields]),
-        findings(*[F.when(F.year(day[f]) < 1950, finding(c, "warn", F.concat(F.lit(f"{f} is very old: "), iso(day[f])))) for f in fields]),
-        findings(F.when(day["StudyDate"] > day["AcquisitionDate"], finding(c, "warn", "The study is dated after the acquisition"))),
-    )
-    fine = finding(c, "pass", F.concat(F.lit("Dates from "), iso(F.array_min(F.array_compact(F.array(*day.values())))), F.lit(" to "), iso(F.array_max(F.array_compact(F.array(*day.values()))))))
-    return F.when(~some, F.concat(bad, F.array(finding(c, "info", "No dates")))).when(F.size(issues) > 0, issues).otherwise(F.array(fine))
+
+    def judged(v: Column) -> Column:
+        day = {f: v[f"{f}_day"] for f in fields}
+        bad = [F.when(v[f].isNotNull() & day[f].isNull(), finding(c, "warn", F.concat(F.lit(f"{f} is no date: "), v[f]))) for f in fields]
+        issues = [
+            *bad,
+            *[F.when(day[f] > v["today"], finding(c, "fail", F.concat(F.lit(f"{f} lies in the future: "), iso(day[f])))) for f in fields],
+            *[F.when(F.year(day[f]) < 1950, finding(c, "warn", F.concat(F.lit(f"{f} is very old: "), iso(day[f])))) for f in fields],
+            F.when(day["StudyDate"] > day["AcquisitionDate"], finding(c, "warn", "The study is dated after the acquisition")),
+        ]
+        known = F.array_compact(F.array(*day.values()))
+        fine = finding(c, "pass", F.concat(F.lit("Dates from "), iso(F.array_min(known)), F.lit(" to "), iso(F.array_max(known))))
+        none_read = F.coalesce(*day.values()).isNull()
+        return let(findings(*issues), lambda found: F.when(none_read, F.concat(findings(*bad), F.array(finding(c, "info", "No dates")))).when(F.size(found) > 0, found).otherwise(F.array(fine)))
+
+    return let(read, judged)
 
 
 def _filled(name: str) -> Column:

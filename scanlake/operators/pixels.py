@@ -1,7 +1,7 @@
-"""Pixel operators: decoding of native and run-length pixels, image features, and rules over the features.
+"""Pixel operators: image features, and rules over the features.
 
-Images are decoded and measured in Arrow batches, one file at a time; only numbers and small arrays leave a batch. The
-rules on top are Columns, and baselines are a table joined by (modality, feature).
+Images are decoded (``operators.decoding``) and measured in Arrow batches, one file at a time; only numbers and small arrays
+leave a batch. The rules on top are Columns, and baselines are a table joined by (modality, feature).
 
 Undecodable pixels (any syntax but native, deflated and RLE, or too few bytes) give null features. ``squeeze``
 keeps the first frame and the first channel. A single colour image has the shape (rows, columns, samples), and
@@ -11,102 +11,65 @@ with ``compatible=True`` its *first row* is taken as a frame, as older results w
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanlake.dims import DEFLATED_LE, NATIVE_FOR_REBUILD, RLE
 from scanlake.findings import finding, findings, first_of
-from scanlake.sources.dicom import PIXELS, Parsed, parse
+from scanlake.operators.decoding import native_pixels
+from scanlake.sources.walker import Parsed, parse
 
 LEVELS = 3
 EDGES = {"top": (0.00, 0.08, 0.00, 1.00), "bottom": (0.92, 1.00, 0.00, 1.00), "left": (0.08, 0.92, 0.00, 0.10), "right": (0.08, 0.92, 0.90, 1.00)}
 MARK_SIZE, MARK_PART, MARKS = 4, 0.02, 5
 
 
-def unrle(segment: bytes, size: int) -> bytes:
-    """A run-length segment (PackBits) to at most ``size`` bytes."""
-    out, at = bytearray(), 0
-    while at < len(segment) and len(out) < size:
-        n = segment[at]
-        if n < 128:
-            out += segment[at + 1 : at + 2 + n]
-            at += 2 + n
-        else:
-            out += segment[at + 1 : at + 2] * (257 - n) if n > 128 else b""
-            at += 2 if n > 128 else 1
-    return bytes(out[:size])
-
-
-def rle_frame(data: bytes, pixels: int, samples: int, width: int) -> bytes:
-    """A frame of RLE pixels, colour by plane, as little-endian samples of ``width`` bytes, colour by pixel."""
-    n = int.from_bytes(data[:4], "little")
-    if n != samples * width:
-        raise ValueError("number of segments")
-    offsets = [int.from_bytes(data[4 + 4 * i : 8 + 4 * i], "little") for i in range(n)] + [len(data)]
-    planes = [np.frombuffer(unrle(data[a:b], pixels), np.uint8) for a, b in zip(offsets, offsets[1:], strict=False)]
-    if any(len(p) < pixels for p in planes):
-        raise ValueError("a segment is too short")
-    out = np.empty((pixels, samples, width), np.uint8)
-    for i, p in enumerate(planes):  # the most significant byte comes first
-        out[:, i // width, width - 1 - i % width] = p
-    return out.tobytes()
-
-
-def native_pixels(p: Parsed) -> bytes | None:
-    """Uncompressed little-endian pixel bytes of a parsed file; null where no decoder here reads them."""
-    value = next((x.value for x in p.elements if x.tag == PIXELS), None)
-    syntax = p.syntax or NATIVE_FOR_REBUILD[0]
-    if isinstance(value, bytes) and syntax in (*NATIVE_FOR_REBUILD, DEFLATED_LE):
-        if syntax == NATIVE_FOR_REBUILD[2] and p.number("BitsAllocated", 8) == 16:
-            return np.frombuffer(value[: len(value) // 2 * 2], ">u2").astype("<u2").tobytes()
-        return value
-    if isinstance(value, list) and syntax == RLE:
-        rows, cols, samples, width = p.number("Rows", 0), p.number("Columns", 0), max(1, p.number("SamplesPerPixel", 1)), (p.number("BitsAllocated", 8) + 7) // 8
-        if rows * cols * samples * width * max(1, len(value) - 1) > 1 << 30:
-            return None
-        try:
-            return b"".join(rle_frame(f, rows * cols, samples, width) for f in value[1:])
-        except (ValueError, IndexError):
-            return None
-    return None
-
-
-def image(p: Parsed, compatible: bool = False) -> np.ndarray | None:
-    """The first frame's first channel as doubles, or null."""
+def samples(p: Parsed) -> tuple[np.ndarray, bool] | None:
+    """All samples, as ([frames,] rows, columns[, channels]), and whether there are several frames; null where they can't be read."""
     raw = native_pixels(p)
     rows, cols = p.number("Rows", 0), p.number("Columns", 0)
-    samples, frames, bits = max(1, p.number("SamplesPerPixel", 1)), max(1, p.number("NumberOfFrames", 1)), p.number("BitsAllocated", 0)
-    need = rows * cols * samples * frames
-    if raw is None or rows <= 0 or cols <= 0:
+    channels, frames, bits = max(1, p.number("SamplesPerPixel", 1)), max(1, p.number("NumberOfFrames", 1)), p.number("BitsAllocated", 0)
+    need = rows * cols * channels * frames
+    if raw is None or rows <= 0 or cols <= 0 or bits not in (1, 8, 16, 32) or len(raw) * 8 < need * bits:
         return None
     if bits == 1:
-        if len(raw) * 8 < need:
-            return None
         flat = np.unpackbits(np.frombuffer(raw, np.uint8), count=need, bitorder="little")
-    elif bits in (8, 16, 32):
-        if len(raw) < need * bits // 8:
-            return None
-        flat = np.frombuffer(raw, f"<{'i' if p.number('PixelRepresentation', 0) else 'u'}{bits // 8}", need)
-    else:
-        return None
-    shape = (*((frames,) if frames > 1 else ()), rows, cols, *((samples,) if samples > 1 else ()))
-    if samples > 1 and p.number("PlanarConfiguration", 0) == 1:
-        px = np.moveaxis(flat.reshape(frames, samples, rows, cols), 1, -1).reshape(shape)
     else:
-        px = flat.reshape(shape)
-    return squeeze(px, frames > 1, compatible).astype(np.float64)
+        flat = np.frombuffer(raw, f"<{'i' if p.number('PixelRepresentation', 0) else 'u'}{bits // 8}", need)
+    shape = (*((frames,) if frames > 1 else ()), rows, cols, *((channels,) if channels > 1 else ()))
+    if channels > 1 and p.number("PlanarConfiguration", 0) == 1:
+        return np.moveaxis(flat.reshape(frames, channels, rows, cols), 1, -1).reshape(shape), frames > 1
+    return flat.reshape(shape), frames > 1
+
+
+def image(p: Parsed, compatible: bool = False) -> np.ndarray | None:
+    """The first frame's first channel as doubles, or null."""
+    read = samples(p)
+    return read and squeeze(*read, compatible).astype(np.float64)
 
 
 def squeeze(px: np.ndarray, framed: bool, compatible: bool = False) -> np.ndarray:
     """First frame, then first channel."""
-    if px.ndim > 2 and (framed or compatible) and px.shape[0] > 1:
-        px = px[0]
+    px = first_frame(px, framed, compatible)
     return px[:, :, 0] if px.ndim == 3 else px
 
 
+def first_frame(px: np.ndarray, framed: bool, compatible: bool = False) -> np.ndarray:
+    """The first frame; with ``compatible`` also the first row of a single colour image, as if it were one."""
+    return px[0] if px.ndim > 2 and (framed or compatible) and px.shape[0] > 1 else px
+
+
+def grey(px: np.ndarray, framed: bool, compatible: bool = False) -> np.ndarray:
+    """The first frame in grey values: the mean of its first three channels if it has three or four."""
+    px = first_frame(px, framed, compatible)
+    if px.ndim == 3:
+        px = px[..., :3].mean(axis=-1) if px.shape[-1] in (3, 4) else px[..., 0]
+    return px.astype(np.float64)
+
+
 def _entropy(counts: np.ndarray) -> float:
     p = counts / counts.sum()
     p = p[p > 0]
@@ -231,7 +194,7 @@ def simple_features(x: np.ndarray, bits: int) -> dict[str, float]:
         size = np.sqrt(gx**2 + gy**2)
         out["sharpness"] = float(size.max() / (size.mean() + 1e-10))
     out["unique_values"] = float(len(np.unique(x)))
-    out["bit_utilization"] = out["unique_values"] / 2.0**bits
+    out["bit_utilization"] = out["unique_values"] / 2.0 ** min(max(bits, 0), 1000)
     return out
 
 
@@ -287,38 +250,74 @@ def text_regions(x: np.ndarray) -> tuple[str, list[str]]:
 def all_features(p: Parsed, compatible: bool = False) -> dict[str, float] | None:
     """Every measurable feature of a file; null without pixels or with fewer than 16 rows or columns."""
     x = image(p, compatible)
-    if x is None or x.ndim != 2 or min(x.shape) < 16:
+    return None if x is None else _features(x, simple_features(x, _bits(p)))
+
+
+def _bits(p: Parsed) -> int:
+    return p.number("BitsStored", p.number("BitsAllocated", 16))
+
+
+def _features(x: np.ndarray, simple: dict[str, float]) -> dict[str, float] | None:
+    if x.ndim != 2 or min(x.shape) < 16:
         return None
-    bits = p.number("BitsStored", p.number("BitsAllocated", 16))
     span = x.max() - x.min() + 1e-10
-    simple = simple_features(x, bits)
     return wavelet_features(x) | spectral_features(x) | noise_features(x) | {"bilateral_ncc": mirror_correlation((x - x.min()) / span), "unique_values": simple["unique_values"], "bit_utilization": simple["bit_utilization"]}
 
 
 PIXEL_COLUMNS = "pixel_state string, text_regions array<string>, simple map<string, double>, features map<string, double>"
+_NUMBERS = pa.map_(pa.string(), pa.float64())
+_FIELDS = [("pixel_state", pa.string()), ("text_regions", pa.list_(pa.string())), ("simple", _NUMBERS), ("features", _NUMBERS)]
+
+
+@dataclass(frozen=True)
+class Measure:
+    """What is measured besides parsing: see ``dicom.parsed``. Marks of text are looked for only with ``marks``, features measured with ``features``."""
+
+    marks: bool = True
+    features: bool = True
+    compatible: bool = False
+
+    fields = _FIELDS
+    schema = PIXEL_COLUMNS
+
+    def __call__(self, p: Parsed | None) -> dict:
+        """One row of ``PIXEL_COLUMNS``, from pixels decoded once; the state is null where they can't be read, or where measuring them fails."""
+        none = {"pixel_state": None, "text_regions": [], "simple": None, "features": None}
+        try:
+            read = p and samples(p)
+            x = read and squeeze(*read, self.compatible).astype(np.float64)
+            if x is None or x.ndim != 2 or not x.size:
+                return none
+            state, regions = text_regions(grey(*read, self.compatible)) if self.marks else ("ok", [])
+            simple = simple_features(x, _bits(p)) if self.features else None
+            full = _features(x, simple) if self.features else None
+        except Exception:  # noqa: BLE001  one file's pixels mustn't end the scan of the others
+            return none
+        return {"pixel_state": state, "text_regions": regions, "simple": simple and list(simple.items()), "features": full and list(full.items())}
 
 
 def measured(files: DataFrame, features: bool = True, compatible: bool = False) -> DataFrame:
     """(file_id, ``PIXEL_COLUMNS``) of files with ``content``; the state is null where pixels can't be read."""
-    numbers = pa.map_(pa.string(), pa.float64())
+    measure = Measure(features=features, compatible=compatible)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                p = parse(b.column(1)[i].as_py() or b"")
-                x = image(p, compatible)
-                x = x if x is not None and x.ndim == 2 and x.size else None
-                state, regions = text_regions(x) if x is not None else (None, [])
-                simple = simple_features(x, p.number("BitsStored", p.number("BitsAllocated", 16))) if x is not None else None
-                full = all_features(p, compatible) if features else None
-                yield pa.record_batch(
-                    [b.column(0).slice(i, 1), pa.array([state], pa.string()), pa.array([regions], pa.list_(pa.string())), pa.array([simple and list(simple.items())], numbers), pa.array([full and list(full.items())], numbers)],
-                    names=["file_id", "pixel_state", "text_regions", "simple", "features"],
-                )
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                rows = [measure(parse_or_none(x)) for x in part.column(1)]
+                yield pa.record_batch([part.column(0), *[pa.array([r[k] for r in rows], t) for k, t in _FIELDS]], names=["file_id", *[k for k, _ in _FIELDS]])
 
     return files.select("file_id", "content").mapInArrow(run, f"file_id string, {PIXEL_COLUMNS}")
 
 
+def parse_or_none(content: pa.Scalar) -> Parsed | None:
+    """A parsed file; null where even that fails."""
+    try:
+        return parse(content.as_py() or b"")
+    except Exception:  # noqa: BLE001  as in ``Measure``
+        return None
+
+
 def _get(column: str, name: str) -> Column:
     return F.element_at(column, name)
 
@@ -366,9 +365,9 @@ def calibrate(rows: DataFrame, least: int = 3) -> DataFrame:
     """Baselines per modality and feature of modalities with at least ``least`` files, with ``_sample_count``."""
     from scanlake.operators.corpus import baselines
 
-    long = long_features(rows)
-    enough = rows.filter("features IS NOT NULL").groupBy(F.coalesce(F.element_at("attrs", "Modality"), F.lit("UNKNOWN")).alias("modality")).agg(F.count("*").alias("_sample_count")).filter(F.col("_sample_count") >= least)
-    return baselines(long, ["modality", "feature"], least=least).join(enough, "modality")
+    # every file with features has this one, and its values are finite
+    files = F.max(F.when(F.col("feature") == "noise_std", F.col("n"))).over(Window.partitionBy("modality"))
+    return baselines(long_features(rows), ["modality", "feature"], least=least).withColumn("_sample_count", files).filter(F.col("_sample_count") >= least)
 
 
 def with_baselines(rows: DataFrame, base: DataFrame) -> DataFrame:

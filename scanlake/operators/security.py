@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from scanlake.dims import AMPLIFICATION_BLOCK, AMPLIFICATION_FLOOR, AMPLIFICATION_WARN, CODEC_CVES, FRAME_CAP, JPIP, MAX_DEPTH, PREAMBLE_ENTROPY, SAFE_DECODERS, TRANSFER_SYNTAXES
 from scanlake.findings import finding, findings, first_of
-from scanlake.functions.binary import byte_symbols, shannon_entropy, signature_at_start
+from scanlake.functions.binary import byte_symbols, let, shannon_entropy, signature_at_start
+
+#: Numbers of a header count as this at most: a product of five of them is still a finite double.
+NUMBER_MOST = 1e60
 
 
 def attr(name: str) -> Column:
@@ -18,23 +21,32 @@ def attr(name: str) -> Column:
     return F.element_at("attrs", name)
 
 
+def first_value(name: str) -> Column:
+    """The first value of an attribute, without blanks around it."""
+    return F.trim(F.split(attr(name), r"\\")[0])
+
+
 def number(name: str, default: int | None) -> Column:
-    """An attribute as a whole number; the default where it is missing or isn't one."""
-    n = F.split(attr(name), r"\\")[0].try_cast("bigint")
-    return n if default is None else F.coalesce(n, F.lit(default).cast("bigint"))
+    """An attribute as a whole number; the default where it is missing or isn't one.
+
+    It is a double, limited to ``NUMBER_MOST``: no header can make the arithmetic of a rule overflow, and up to 2**53 it is exact.
+    """
+    text = first_value(name)
+    n = F.when(text.rlike("^[+-]?[0-9]+$"), F.greatest(F.least(text.try_cast("double"), F.lit(NUMBER_MOST)), F.lit(-NUMBER_MOST)))
+    return n if default is None else F.coalesce(n, F.lit(float(default)))
 
 
 def preamble() -> Column:
     """Magic, polyglot signature, then the entropy of the 128 bytes."""
     head = F.substring("preamble", 1, 128)
     magic, sig = F.substring("preamble", 129, 4), signature_at_start(head)
-    e = shannon_entropy(byte_symbols(head))
     c = "file_preamble"
+    told = let(shannon_entropy(byte_symbols(head)), lambda e: finding(c, F.when(e > PREAMBLE_ENTROPY, "warn").otherwise("info"), F.format_string("Non-zero preamble of entropy %.1f of 8", e), "Rebuilding zeroes it."))
     return first_of(
         (F.coalesce(magic, F.lit(b"")) != F.lit(b"DICM"), finding(c, "critical", "No DICM magic at byte 128", F.concat(F.lit("found 0x"), F.hex(magic)))),
         (head == F.lit(b"\0" * 128), finding(c, "pass", "The preamble is all zeros")),
         (sig.isNotNull(), finding(c, "critical", F.concat(F.lit("Polyglot: the preamble is that of a "), sig), "The same bytes open as another kind of file; rebuilding zeroes them.")),
-        (None, finding(c, F.when(e > PREAMBLE_ENTROPY, "warn").otherwise("info"), F.format_string("Non-zero preamble of entropy %.1f of 8", e), "Rebuilding zeroes it.")),
+        (None, told),
     )
 
 
@@ -59,24 +71,29 @@ def sequence_depth(limit: int = MAX_DEPTH) -> Column:
 
 
 def pixel_dimension_bomb() -> Column:
-    """Declared buffer against a cap, then against what is stored. Decimal arithmetic: products exceed a long."""
-    big = lambda x: x.cast("decimal(38,0)")
-    rows, cols = number("Rows", 0), number("Columns", 0)
-    samples, frames = F.greatest(number("SamplesPerPixel", 1), F.lit(1)), F.greatest(number("NumberOfFrames", 1), F.lit(1))
-    bits = F.greatest(number("BitsAllocated", 8), F.lit(1))
-    frame = big(rows * cols).cast("double") * samples * F.floor((bits + 7) / 8)
-    declared, stored = frame * frames, F.nullif(F.col("pixel_len"), F.lit(0))
-    ratio = declared / stored
+    """Declared buffer against a cap, then against what is stored."""
+    one = F.lit(1.0)
+    size = F.struct(
+        number("Rows", 0).alias("rows"), number("Columns", 0).alias("cols"), F.greatest(number("SamplesPerPixel", 1), one).alias("samples"), F.greatest(number("NumberOfFrames", 1), one).alias("frames"),
+        F.ceil(F.greatest(number("BitsAllocated", 8), one) / 8).alias("width"), F.nullif(F.col("pixel_len"), F.lit(0)).alias("stored"),
+    )
     c = "pixel_dimension_bomb"
-    amplified = F.format_string("%d stored bytes declare an image of %.1f MiB (%.0f times)", stored, declared / 1024**2, ratio)
-    large = stored.isNotNull() & (declared > AMPLIFICATION_FLOOR)
-    return first_of(
-        ((rows <= 0) | (cols <= 0), finding(c, "pass", "No image dimensions")),
-        (frame > FRAME_CAP, finding(c, "critical", F.format_string("One frame declares %.1f GiB", frame / 1024**3), "A viewer that sizes its buffer from the header runs out of memory.")),
-        (large & (ratio > AMPLIFICATION_BLOCK), finding(c, "critical", amplified, "No codec reaches this ratio.")),
-        (large & (ratio > AMPLIFICATION_WARN), finding(c, "warn", amplified, "Well above real codecs; rebuilding decodes it with limits.")),
-        (None, finding(c, "pass", F.format_string("The declared image has %.1f MiB", declared / 1024**2))),
-    )
+
+    def judged(d: Column) -> Column:
+        frame = d["rows"] * d["cols"] * d["samples"] * d["width"]
+        declared = frame * d["frames"]
+        ratio = declared / d["stored"]
+        amplified = F.format_string("%d stored bytes declare an image of %.1f MiB (%.0f times)", d["stored"], declared / 1024**2, ratio)
+        large = d["stored"].isNotNull() & (declared > AMPLIFICATION_FLOOR)
+        return first_of(
+            ((d["rows"] <= 0) | (d["cols"] <= 0), finding(c, "pass", "No image dimensions")),
+            (frame > FRAME_CAP, finding(c, "critical", F.format_string("One frame declares %.1f GiB", frame / 1024**3), "A viewer that sizes its buffer from the header runs out of memory.")),
+            (large & (ratio > AMPLIFICATION_BLOCK), finding(c, "critical", amplified, "No codec reaches this ratio.")),
+            (large & (ratio > AMPLIFICATION_WARN), finding(c, "warn", amplified, "Well above real codecs; rebuilding decodes it with limits.")),
+            (None, finding(c, "pass", F.format_string("The declared image has %.1f MiB", declared / 1024**2))),
+        )
+
+    return let(size, judged)
 
 
 def private_tag_payloads() -> Column:

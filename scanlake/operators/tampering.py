@@ -93,7 +93,7 @@ def altered(files: DataFrame, techniques: Iterable[str] = tuple(TECHNIQUES), see
     """
     from scanlake.dims import EXPLICIT_LE
     from scanlake.operators.pixels import image
-    from scanlake.sources.dicom import PIXELS, TAGS, parse
+    from scanlake.sources.walker import PIXELS, TAGS, parse
     from scanlake.sources.writer import data_set, element, part10
 
     names = list(techniques)

@@ -116,9 +116,7 @@ def file_fidelity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fidelity(files: DataFrame) -> DataFrame:
-    rows = dicom.parsed(files)
-    made = disarm.disarm(files, rows).join(rows.select("file_id", "syntax"), "file_id")
-    return made.groupBy("syntax", disarm.fidelity_bucket().alias("bucket")).agg(F.count("*").alias("n"))
+    return disarm.disarm(files).groupBy("syntax", disarm.fidelity_bucket().alias("bucket")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT CASE c_custkey % 10 WHEN 2 THEN NULL WHEN 5 THEN '1.2.840.10008.1.2.4.201' WHEN 8 THEN '1.2.840.10008.1.2.1.99' WHEN 9 THEN '1.2.840.10008.1.2.5' ELSE '1.2.840.10008.1.2.1' END AS syntax,
@@ -179,7 +177,7 @@ def file_calibration(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _calibration(files: DataFrame) -> DataFrame:
-    rows = dicom.parsed(files).select("file_id", "attrs").join(pixels.measured(files), "file_id")
+    rows = dicom.parsed(files, measure=pixels.Measure(marks=False)).select("file_id", "attrs", "features")
     return pixels.calibrate(rows).filter("feature = 'noise_std'").select("modality", "n")
 
 

@@ -299,7 +299,7 @@ def modality_baselines(spark: SparkSession, sf: str) -> DataFrame:
 def zscore_anomaly(spark: SparkSession, sf: str) -> DataFrame:
     """Values beyond a limit of deviations from their baseline, the worst per key."""
     long = _features(spark, sf)
-    scored = C.zscores(long, C.baselines(long, ["modality", "feature"]), ["modality", "feature"])
+    scored = C.zscores(long, C.moments(long, ["modality", "feature"]), ["modality", "feature"])
     return rounded(C.anomalies(scored, ["l_orderkey"], ["l_linenumber", "feature"], 1.6).select("l_orderkey", "feature", "z", "n_anomalies"))
 
 

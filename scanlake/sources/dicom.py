@@ -1,279 +1,27 @@
 """Reading Part-10 files as tables: ``files`` (bytes), ``parsed`` (one row per file), ``elements`` (one row per element).
 
 Files come from Spark's binary source; a file is walked once, in Arrow batches, into a row without pixels, so
-no later shuffle carries file contents. Parsing is lenient: a value cut off by the end of the file is
-what remains of it; without ``DICM`` at byte 128 the data set is taken to start at byte 0 in Implicit VR Little Endian;
-``parse_error`` is set only where nothing can be read (no bytes, or a deflated body that doesn't inflate).
-Nothing is ever allocated from a declared length.
+no later shuffle carries file contents. How bytes are read is in ``sources.walker``. A file on which the walk itself
+fails has a ``parse_error`` that says so; it never ends the scan of the others.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
-import zlib
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.dims import DEFLATED_LE, DEPTH_CAP, EXPLICIT_BE, FREE_TEXT_TAGS, IMPLICIT_LE, LONG_VRS, MAX_ELEMENTS, PAYLOAD_MIN, PROFILE_TAGS, UNDEFINED_LENGTH, VALID_VRS
-from scanlake.functions.binary import element_text, payload_threat
+from scanlake.dims import PAYLOAD_MIN
+from scanlake.functions.payloads import element_text, payload_threat
+from scanlake.sources.walker import KEYWORDS, PIXELS, Element, Parsed, length_walk, parse
 
-#: Inflated bytes of a deflated data set that are read at most; a data set that holds more is a parse error.
-INFLATE_CAP = 256 * 1024**2
 #: Bytes of the largest file whose content Spark's binary source gives.
 CONTENT_MOST = 2**31 - 1
 
-# --- fixed values: attributes that rules read besides the profile and free-text tags: tag, keyword, VR ---
-ATTRIBUTES: list[tuple[int, int, str, str]] = [
-    (0x0008, 0x0016, "SOPClassUID", "UI"),
-    (0x0008, 0x0018, "SOPInstanceUID", "UI"),
-    (0x0008, 0x0020, "StudyDate", "DA"),
-    (0x0008, 0x0021, "SeriesDate", "DA"),
-    (0x0008, 0x0022, "AcquisitionDate", "DA"),
-    (0x0008, 0x0023, "ContentDate", "DA"),
-    (0x0008, 0x0060, "Modality", "CS"),
-    (0x0008, 0x0070, "Manufacturer", "LO"),
-    (0x0008, 0x1090, "ManufacturerModelName", "LO"),
-    (0x0018, 0x0015, "BodyPartExamined", "CS"),
-    (0x0018, 0x0050, "SliceThickness", "DS"),
-    (0x0020, 0x000D, "StudyInstanceUID", "UI"),
-    (0x0020, 0x000E, "SeriesInstanceUID", "UI"),
-    (0x0020, 0x0032, "ImagePositionPatient", "DS"),
-    (0x0028, 0x0002, "SamplesPerPixel", "US"),
-    (0x0028, 0x0004, "PhotometricInterpretation", "CS"),
-    (0x0028, 0x0006, "PlanarConfiguration", "US"),
-    (0x0028, 0x0008, "NumberOfFrames", "IS"),
-    (0x0028, 0x0010, "Rows", "US"),
-    (0x0028, 0x0011, "Columns", "US"),
-    (0x0028, 0x0100, "BitsAllocated", "US"),
-    (0x0028, 0x0101, "BitsStored", "US"),
-    (0x0028, 0x0103, "PixelRepresentation", "US"),
-    (0x0028, 0x0301, "BurnedInAnnotation", "CS"),
-]
-KEYWORDS = {(g, e): k for g, e, k, *_ in (*PROFILE_TAGS, *FREE_TEXT_TAGS, *ATTRIBUTES)}
-TAGS = {k: t for t, k in KEYWORDS.items()}
-IMPLICIT_VR = {(g, e): "LO" for g, e, *_ in (*PROFILE_TAGS, *FREE_TEXT_TAGS)} | {(g, e): vr for g, e, _, vr in ATTRIBUTES} | {(0x0040, 0xA730): "SQ", (0x7FE0, 0x0010): "OW"}
-_NUMBERS = {"US": "H", "SS": "h", "UL": "I", "SL": "i", "FL": "f", "FD": "d", "UV": "Q", "SV": "q"}
-_TEXT_VRS = {"AE", "AS", "CS", "DA", "DS", "DT", "IS", "LO", "LT", "PN", "SH", "ST", "TM", "UC", "UI", "UR", "UT"}
-_LONG = {v.encode() for v in LONG_VRS}
-_VALID = {v.encode() for v in VALID_VRS}
-PIXELS = (0x7FE0, 0x0010)
-
-
-@dataclass(slots=True)
-class Element:
-    """One element; ``value`` is its bytes, or the fragments of encapsulated pixels; ``items`` those of a sequence."""
-
-    tag: tuple[int, int]
-    vr: str
-    value: bytes | list[bytes]
-    path: tuple[str, ...] = ()
-    items: list[list["Element"]] | None = None
-    le: bool = True
-
-    def text(self) -> str | None:
-        """The value as text: numbers joined by backslashes, strings without padding; null for opaque bytes."""
-        if self.items is not None or isinstance(self.value, list):
-            return None
-        if self.vr in _NUMBERS:
-            size = struct.calcsize(_NUMBERS[self.vr])
-            n = len(self.value) // size
-            return "\\".join(map(str, struct.unpack(("<" if self.le else ">") + _NUMBERS[self.vr] * n, self.value[: n * size])))
-        if self.vr in _TEXT_VRS:
-            raw = self.value.rstrip(b"\0 ") if self.vr != "UI" else self.value.strip(b"\0 ")
-            try:
-                return raw.decode("utf-8")
-            except UnicodeDecodeError:
-                return raw.decode("latin-1")
-        return None
-
-
-@dataclass
-class Parsed:
-    """A data set: transfer syntax (null without one), meta and top-level elements, nesting depth, error."""
-
-    syntax: str | None = None
-    meta: list[Element] = field(default_factory=list)
-    elements: list[Element] = field(default_factory=list)
-    depth: int = 0
-    error: str | None = None
-
-    def get(self, keyword: str) -> Element | None:
-        """The top-level element with this keyword."""
-        tag = TAGS[keyword]
-        return next((x for x in self.elements if x.tag == tag), None)
-
-    def number(self, keyword: str, default: int) -> int:
-        """An integer attribute, or ``default`` where it is missing or no integer."""
-        try:
-            return int((x.text() if (x := self.get(keyword)) else None).split("\\")[0])
-        except (AttributeError, ValueError):
-            return default
-
-
-def _header(data: bytes, off: int, implicit: bool, le: bool) -> tuple[tuple[int, int], str | None, int, int] | None:
-    """(tag, VR or null if implicit, length, value's offset) at ``off``; null where it doesn't fit."""
-    e = "<" if le else ">"
-    if off + 8 > len(data):
-        return None
-    tag = struct.unpack_from(e + "HH", data, off)
-    if implicit or tag[0] == 0xFFFE:
-        return tag, None, struct.unpack_from(e + "I", data, off + 4)[0], off + 8
-    vr = data[off + 4 : off + 6]
-    if vr in _LONG:
-        return (tag, vr.decode("latin-1"), struct.unpack_from(e + "I", data, off + 8)[0], off + 12) if off + 12 <= len(data) else None
-    return tag, vr.decode("latin-1"), struct.unpack_from(e + "H", data, off + 6)[0], off + 8
-
-
-class _Walk:
-    """Reads nested elements, all that there are; counts depth and stops at its cap."""
-
-    def __init__(self, data: bytes, implicit: bool, le: bool) -> None:
-        self.data, self.implicit, self.le, self.depth = data, implicit, le, 0
-
-    def elements(self, off: int, end: int, depth: int, path: tuple[str, ...], until: int | None = None) -> tuple[list[Element], int]:
-        """Elements from ``off`` up to ``end``, or to the delimiter ``until``; and where they stop."""
-        out: list[Element] = []
-        self.depth = max(self.depth, depth)
-        while off < end:
-            head = _header(self.data, off, self.implicit, self.le)
-            if head is None:
-                return out, end
-            tag, vr, length, at = head
-            if tag[0] == 0xFFFE:
-                if tag[1] == until:
-                    return out, at
-                off = at
-                continue
-            if vr is None:
-                # without a VR, an unknown value that begins with an item is taken for a sequence
-                item = length == UNDEFINED_LENGTH or (length >= 8 and self.data[at : at + 4] == (b"\xfe\xff\x00\xe0" if self.le else b"\xff\xfe\xe0\x00"))
-                vr = IMPLICIT_VR.get(tag, "SQ" if item else "UN")
-            elif vr.encode("latin-1") not in _VALID:
-                return out, end  # the walk has lost its place
-            name = f"({tag[0]:04X},{tag[1]:04X})"
-            if tag == PIXELS and length == UNDEFINED_LENGTH:
-                fragments, off = self.fragments(at, end)
-                out.append(Element(tag, vr, fragments, path, le=self.le))
-            elif vr == "SQ" or length == UNDEFINED_LENGTH:
-                items, off = self.items(at, end if length == UNDEFINED_LENGTH else min(end, at + length), depth, (*path, name), length == UNDEFINED_LENGTH)
-                out.append(Element(tag, "SQ", b"", path, items, self.le))
-            else:
-                out.append(Element(tag, vr, self.data[at : min(end, at + length)], path, le=self.le))
-                off = at + length
-        return out, off
-
-    def items(self, off: int, end: int, depth: int, path: tuple[str, ...], delimited: bool) -> tuple[list[list[Element]], int]:
-        """Items of a sequence."""
-        out: list[list[Element]] = []
-        while off < end:
-            head = _header(self.data, off, self.implicit, self.le)
-            if head is None:
-                return out, end
-            tag, _, length, at = head
-            if tag != (0xFFFE, 0xE000):
-                return out, at if delimited and tag == (0xFFFE, 0xE0DD) else (end if not delimited else off)
-            if depth + 1 > DEPTH_CAP:
-                self.depth = max(self.depth, depth + 1)
-                return out, end
-            stop = end if length == UNDEFINED_LENGTH else min(end, at + length)
-            item, after = self.elements(at, stop, depth + 1, path, 0xE00D if length == UNDEFINED_LENGTH else None)
-            out.append(item)
-            off = after if length == UNDEFINED_LENGTH else stop
-        return out, off
-
-    def fragments(self, off: int, end: int) -> tuple[list[bytes], int]:
-        """Fragments of encapsulated pixels; the first is the offset table."""
-        out: list[bytes] = []
-        while head := _header(self.data, off, True, self.le):
-            tag, _, length, at = head
-            if tag != (0xFFFE, 0xE000):
-                return out, at
-            out.append(self.data[at : min(end, at + length)])
-            off = at + length
-        return out, end
-
-
-def parse(data: bytes) -> Parsed:
-    """A file's bytes to its elements."""
-    if not data:
-        return Parsed(error="no bytes")
-    out, off, body = Parsed(), 0, data
-    if data[128:132] == b"DICM":
-        off = 132
-        while (head := _header(data, off, False, True)) and head[0][0] == 0x0002:
-            tag, vr, length, at = head
-            stop = at if length == UNDEFINED_LENGTH else min(len(data), at + length)
-            out.meta.append(Element(tag, vr, data[at:stop]))
-            off = stop
-            if tag == (0x0002, 0x0010):
-                out.syntax = out.meta[-1].value.rstrip(b"\0 ").decode("ascii", "ignore")
-    if out.syntax == DEFLATED_LE:
-        try:
-            inflate = zlib.decompressobj(-15)
-            body, off = inflate.decompress(data[off:], INFLATE_CAP), 0
-            if inflate.unconsumed_tail:
-                raise zlib.error("it inflates beyond the cap")
-        except zlib.error as e:
-            out.error = f"deflated data set: {e}"
-            return out
-    walk = _Walk(body, out.syntax in (None, IMPLICIT_LE), out.syntax != EXPLICIT_BE)
-    out.elements, _ = walk.elements(off, len(body), 0, ())
-    out.depth = walk.depth
-    return out
-
-
-def length_walk(data: bytes) -> tuple[str, int, int, int]:
-    """(state, offset, declared, remaining) of the structural length check.
-
-    States: ``absent`` (no Part-10 file), ``meta_bomb``, ``unresolved``, ``deflated``, ``mismatch`` (no VR where one must be), ``bomb``,
-    ``ok``. An undefined length, a header cut off and the cap on elements end the walk with what was seen.
-    """
-    n = len(data)
-    if n < 132 or data[128:132] != b"DICM":
-        return "absent", 0, 0, 0
-    off, syntax = 132, None
-    if data[132:134] == b"\x02\x00":
-        while off + 8 <= n and data[off : off + 2] == b"\x02\x00":
-            head = _header(data, off, False, True)
-            if head is None:
-                return "unresolved", off, 0, 0
-            tag, _, length, at = head
-            if length != UNDEFINED_LENGTH and length > n - at:
-                return "meta_bomb", off, length, n - at
-            if tag == (0x0002, 0x0010):
-                syntax = data[at : at + length].rstrip(b"\0 ").decode("ascii", "ignore")
-            off = at + (0 if length == UNDEFINED_LENGTH else length)
-        if syntax == DEFLATED_LE:
-            return "deflated", off, 0, 0
-        implicit, e = syntax == IMPLICIT_LE, ">" if syntax == EXPLICIT_BE else "<"
-    else:
-        implicit, e = True, "<"
-    for _ in range(MAX_ELEMENTS):
-        if off + 8 > n:
-            break
-        if implicit:
-            length, at = struct.unpack_from(e + "I", data, off + 4)[0], off + 8
-        else:
-            vr = data[off + 4 : off + 6]
-            if vr not in _VALID:
-                return "mismatch", off, 0, 0
-            if vr in _LONG:
-                if off + 12 > n:
-                    break
-                length, at = struct.unpack_from(e + "I", data, off + 8)[0], off + 12
-            else:
-                length, at = struct.unpack_from(e + "H", data, off + 6)[0], off + 8
-        if length == UNDEFINED_LENGTH:
-            break
-        if length > n - at:
-            return "bomb", off, length, n - at
-        off = at + length
-    return "ok", off, 0, 0
-
 
 def _empty_files(spark: SparkSession, source: DataFrame) -> DataFrame:
     """(file_id) of the empty files: Spark's driver lists them, but gives no rows for them."""
@@ -304,7 +52,7 @@ PARSED = (
     "private array<struct<grp: int, elem: int, vr: string, len: long, text: string, severity: string, threat: string>>, parse_error string"
 )
 _PRIVATE = pa.struct([("grp", pa.int32()), ("elem", pa.int32()), ("vr", pa.string()), ("len", pa.int64()), ("text", pa.string()), ("severity", pa.string()), ("threat", pa.string())])
-_ARROW = [
+PARSED_FIELDS = [
     ("walk", pa.struct([("state", pa.string()), ("at", pa.int64()), ("declared", pa.int64()), ("remaining", pa.int64())])),
     ("syntax", pa.string()),
     ("sop_class", pa.string()),
@@ -317,11 +65,18 @@ _ARROW = [
 ]
 
 
-def describe(data: bytes) -> dict:
-    """What the rules need of one file, as a row of ``PARSED``."""
-    import hashlib
+def describe(data: bytes, measure: Callable[[Parsed | None], dict] | None = None) -> dict:
+    """What the rules need of one file, as a row of ``PARSED``, and what ``measure`` says of it."""
+    p = None
+    try:
+        p = parse(data)
+        row = _described(data, p)
+    except Exception as e:  # noqa: BLE001  a hostile file is reported, and the scan goes on
+        row = dict.fromkeys([k for k, _ in PARSED_FIELDS]) | {"walk": {"state": "absent", "at": 0, "declared": 0, "remaining": 0}, "seq_depth": 0, "parse_error": f"the walk failed: {type(e).__name__}: {e}"[:200]}
+    return row | measure(p) if measure else row
 
-    p = parse(data)
+
+def _described(data: bytes, p: Parsed) -> dict:
     attrs, private = {}, []
     for x in p.elements:
         if x.tag in KEYWORDS:
@@ -335,7 +90,12 @@ def describe(data: bytes) -> dict:
         elif x.tag[0] % 2:
             private.append({"grp": x.tag[0], "elem": x.tag[1], "vr": x.vr, "len": 0, "text": None, "severity": None, "threat": None})
     pixels = next((x.value for x in p.elements if x.tag == PIXELS), None)
-    raw = b"".join(struct.pack("<HHI", 0xFFFE, 0xE000, len(f)) + f for f in pixels) if isinstance(pixels, list) else pixels
+    size, digest = None, None
+    if pixels is not None:
+        hashed = hashlib.sha256()
+        for part in [pixels] if isinstance(pixels, bytes) else [y for f in pixels for y in (struct.pack("<HHI", 0xFFFE, 0xE000, len(f)), f)]:
+            hashed.update(part)
+        size, digest = len(pixels) if isinstance(pixels, bytes) else sum(8 + len(f) for f in pixels), hashed.hexdigest()
     meta = next((x for x in p.meta if x.tag == (0x0002, 0x0002)), None)
     state, at, declared, remaining = length_walk(data)
     return {
@@ -344,27 +104,32 @@ def describe(data: bytes) -> dict:
         "sop_class": (meta.value.strip(b"\0 ").decode("ascii", "ignore") if meta else None) or attrs.get("SOPClassUID"),
         "attrs": list(attrs.items()),
         "seq_depth": p.depth,
-        "pixel_len": None if raw is None else len(raw),
-        "pixel_sha256": None if raw is None else hashlib.sha256(raw).hexdigest(),
+        "pixel_len": size,
+        "pixel_sha256": digest,
         "private": private,
         "parse_error": p.error,
     }
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """``files`` with ``sha256``, ``preamble`` (132 bytes) and ``PARSED``, without ``content``."""
+def parsed(files: DataFrame, keep_content: bool = False, measure=None) -> DataFrame:
+    """``files`` with ``sha256``, ``preamble`` (132 bytes) and ``PARSED``; without ``content`` unless it is kept.
+
+    ``measure`` adds columns from the same pass: it has ``fields`` (Arrow), ``schema`` (DDL) and is called with the parsed file.
+    """
     keep = [c for c in files.columns if c != "content"]
     rows = files.select(*keep, F.sha2("content", 256).alias("sha256"), F.substring("content", 1, 132).alias("preamble"), "content")
+    stay = rows.columns if keep_content else rows.columns[:-1]
+    fields = [*PARSED_FIELDS, *(measure.fields if measure else ())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
-                found = [describe(x or b"") for x in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.record_batch([*part.columns[:-1], *[pa.array([f[k] for f in found], t) for k, t in _ARROW]], names=[*part.schema.names[:-1], *[k for k, _ in _ARROW]])
+                found = [describe(x or b"", measure) for x in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.record_batch([*part.columns[: len(stay)], *[pa.array([f[k] for f in found], t) for k, t in fields]], names=[*stay, *[k for k, _ in fields]])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "content")
-    return rows.mapInArrow(run, f"{fields}, {PARSED}")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in stay)
+    return rows.mapInArrow(run, ", ".join([kept, PARSED, *([measure.schema] if measure else [])]))
 
 
 def elements(files: DataFrame) -> DataFrame:
@@ -384,7 +149,10 @@ def elements(files: DataFrame) -> DataFrame:
         names = [f.split()[0] for f in schema.split(", ")]
         for b in batches:
             for file_id, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                p = parse(data or b"")
+                try:
+                    p = parse(data or b"")
+                except Exception:  # noqa: BLE001  as in ``describe``: such a file has no elements
+                    continue
                 rows = [*flat(file_id, p.meta, True), *flat(file_id, p.elements, False)]
                 for i in range(0, len(rows), 2048):
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 2048], strict=True), types, strict=True)], names=names)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from scanlake.dims import DEFLATED_LE, EXPLICIT_LE, FRAME_CAP, IMPLICIT_LE, SIGNATURES
-from scanlake.sources.dicom import Element
+from scanlake.sources.walker import TAGS, Element
 from scanlake.sources.writer import data_set, element, encode, part10
 
 JPEG2000, H264, HEVC, HTJ2K, JPIP = (IMPLICIT_LE + s for s in (".4.90", ".4.102", ".4.107", ".4.201", ".4.94"))
@@ -123,6 +123,10 @@ def all_fixtures() -> list[Fixture]:
     for side, frames, stored, verdict in ((512, 200_000, 64, "block"), (12_000, 1, 16 * 1024, "block"), (12_000, 1, 512 * 1024, "warn"), (8_000, 3, 1024 * 1024, "warn")):
         name = f"{'pixel_decompress' if verdict == 'block' else 'amplified'}_{side}_{frames}_{stored}.dcm"
         add(name, "decompression_bomb", verdict, plain(JPEG2000, [b"", b"\0" * stored], Rows=side, Columns=side, NumberOfFrames=frames), "pixel_dimension_bomb")
+    as_text = lambda **kv: dict(more=[element(TAGS[k], v, "IS") for k, v in kv.items()], **dict.fromkeys(kv))
+    for name, change in (("rows", as_text(Rows="9999999999", Columns="9999999999")), ("bits", as_text(BitsAllocated="9" * 18)), ("frames", as_text(NumberOfFrames="99999999999")), ("frames_long", as_text(NumberOfFrames="9" * 400))):
+        add(f"header_overflow_{name}.dcm", "dimension_bomb", "block", plain(pixels=b"\0" * 256, **change), "pixel_dimension_bomb")
+    add("header_text_frames.dcm", "malformed_header", "warn", plain(**as_text(NumberOfFrames="many")), "check_pixel_dimensions")
     for name, syntax in (("video_h264", H264), ("video_hevc", HEVC), ("htj2k", HTJ2K)):
         add(f"{name}.dcm", "codec_exposure", "warn", plain(syntax, [b"", b"\0" * 64]), "codec_cve")
     add("jpip.dcm", "codec_exposure", "warn", plain(JPIP, None), "codec_cve")

@@ -6,7 +6,7 @@ import struct
 import zlib
 
 from scanlake.dims import DEFLATED_LE, EXPLICIT_BE, EXPLICIT_LE, IMPLICIT_LE, LONG_VRS, UNDEFINED_LENGTH
-from scanlake.sources.dicom import _NUMBERS, ATTRIBUTES, TAGS, Element
+from scanlake.sources.walker import ATTRIBUTES, NUMBERS, TAGS, Element
 
 _VR_OF = {k: vr for _, _, k, vr in ATTRIBUTES} | {
     "PatientName": "PN", "ReferringPhysicianName": "PN", "OperatorsName": "PN", "PatientBirthDate": "DA", "PatientSex": "CS", "PatientAge": "AS", "AccessionNumber": "SH", "StationName": "SH",
@@ -22,9 +22,9 @@ def element(key: str | tuple[int, int], value, vr: str | None = None, le: bool =
         return Element(tag, vr, b"", (), list(value), le)
     if isinstance(value, list) and value and isinstance(value[0], bytes):
         return Element(tag, vr, value, (), None, le)  # fragments
-    if vr in _NUMBERS:
+    if vr in NUMBERS:
         values = value if isinstance(value, (list, tuple)) else [value]
-        raw = struct.pack(("<" if le else ">") + _NUMBERS[vr] * len(values), *values)
+        raw = struct.pack(("<" if le else ">") + NUMBERS[vr] * len(values), *values)
     elif isinstance(value, bytes):
         raw = value
     else:

@@ -11,7 +11,7 @@ from scanlake.dims import EXPLICIT_LE, MAX_ELEMENTS
 from scanlake.findings import worst
 from scanlake.operators import disarm, pixels
 from scanlake.plans import scan as plans
-from scanlake.sources import dicom, fixtures, writer
+from scanlake.sources import dicom, fixtures, walker, writer
 
 AS_OF = "2025-01-01"
 
@@ -77,10 +77,10 @@ def test_benchmark(spark, files):
     assert s["detection_k"] == s["detection_n"] and s["false_positives_k"] == 0 and s["fidelity_k"] == s["fidelity_n"] > 20
 
 
-def test_disarm_only_what_is_dangerous(files, reports):
-    got = {r["file_id"].rsplit("/", 1)[1]: r for r in plans.disarm_or_quarantine(files, reports, as_of=AS_OF).collect()}
+def test_disarm_only_what_is_dangerous(files):
+    got = {r["file_id"].rsplit("/", 1)[1]: r for r in plans.disarm_or_quarantine(files, as_of=AS_OF).collect()}
     assert got["plain_explicit.dcm"]["action"] == "clean" and got["polyglot_01.dcm"]["action"] == "disarmed"
-    copy = dicom.parse(got["polyglot_01.dcm"]["output"])
+    copy = walker.parse(got["polyglot_01.dcm"]["output"])
     assert bytes(got["polyglot_01.dcm"]["output"][:128]) == b"\0" * 128 and copy.get("PatientID").text() == "P1"
 
 
@@ -100,9 +100,9 @@ def test_sandbox_contains(worker, reason):
 def test_sandbox_blames_the_right_file():
     """A file on which the decoder crashes doesn't take the others with it."""
     worker = (
-        "import os, sys, signal\nfrom scanlake.operators import pixels, disarm\nown = pixels.native_pixels\n"
+        "import os, signal\nfrom scanlake.operators import decoding\nown = decoding.native_pixels\n"
         "def risky(p):\n    if p.number('Rows', 0) == 13: os.kill(os.getpid(), signal.SIGSEGV)\n    return own(p)\n"
-        "pixels.native_pixels = risky\ndisarm.decode_worker(sys.argv[1], sys.argv[2])"
+        "decoding.native_pixels = risky\ndecoding.main()"
     )
     files = [fixtures.plain(), fixtures.plain(Rows=13), fixtures.plain(pixels=None), fixtures.plain()]
     got = disarm.sandboxed_pixels(files, worker=worker)
@@ -137,8 +137,8 @@ def test_elements_are_flat(spark, files):
 
 @pytest.mark.parametrize("syntax", [EXPLICIT_LE, EXPLICIT_LE.removesuffix(".1"), EXPLICIT_LE + ".99"])
 def test_round_trip(syntax):
-    p = dicom.parse(fixtures.plain(syntax, more=[fixtures.nested(2), *fixtures.private(b"\1\2\3\4")]))
-    again = dicom.parse(writer.part10(writer.data_set(p.elements, syntax), syntax))
+    p = walker.parse(fixtures.plain(syntax, more=[fixtures.nested(2), *fixtures.private(b"\1\2\3\4")]))
+    again = walker.parse(writer.part10(writer.data_set(p.elements, syntax), syntax))
     assert [(x.tag, x.value) for x in again.elements] == [(x.tag, x.value) for x in p.elements] and again.depth == p.depth == 3
 
 
@@ -167,7 +167,7 @@ def test_elements_behind_many_others_are_read(spark, nested_ones):
     assert report["parse_error"] is None and report["pixel_len"] == len(fixtures.slice_pixels())
     assert "critical" in {f["severity"] for f in report["findings"] if f["check"] == "private_tag_payload"}
     assert plans.disarm_or_quarantine(frame, as_of=AS_OF).first()["action"] == "disarmed"
-    assert dicom.elements(frame).count() == MAX_ELEMENTS + 10 + nested_ones + len(dicom.parse(fixtures.plain(more=fixtures.private(b"\0" * 64))).elements) + 4
+    assert dicom.elements(frame).count() == MAX_ELEMENTS + 10 + nested_ones + len(walker.parse(fixtures.plain(more=fixtures.private(b"\0" * 64))).elements) + 4
 
 
 HEADERS = {
@@ -272,9 +272,9 @@ def test_features():
     b2 = np.polyfit(np.log(r), np.log(power), 1)[0]
     assert np.isclose(pixels.spectral_features(x)["spectral_b2"], -b2)
     assert np.isclose(pixels.mirror_correlation(x), np.corrcoef(x.ravel(), x[:, ::-1].ravel())[0, 1])
-    full = pixels.all_features(dicom.parse(fixtures.plain()))
+    full = pixels.all_features(walker.parse(fixtures.plain()))
     assert len(full) == 36 + 4 + 6 + 3 and all(np.isfinite(v) for v in full.values())
-    assert pixels.all_features(dicom.parse(fixtures.plain(pixels=None))) is None
+    assert pixels.all_features(walker.parse(fixtures.plain(pixels=None))) is None
 
 
 def test_calibrated_rules(spark):

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 from scanlake.findings import dangerous, finding, findings, severity_rank, summary
-from scanlake.functions import binary, stats
+from scanlake.functions import binary, payloads, stats
 from scanlake.operators import corpus
 from scanlake.plans import files, relational
 
@@ -63,8 +63,8 @@ def test_entropy_and_signatures(spark):
     rows = spark.createDataFrame([(bytearray(d),) for d in data], "b binary")
     got = rows.select(binary.shannon_entropy(binary.byte_symbols(F.col("b"))), binary.signature_at_start(F.col("b")), binary.signature_in_window(F.col("b"))).collect()
     for d, (e, start, window) in zip(data, got, strict=True):
-        assert math.isclose(e, binary.entropy_of(d), abs_tol=1e-9)
-        found = binary.match_signature(d)
+        assert math.isclose(e, payloads.entropy_of(d), abs_tol=1e-9)
+        found = payloads.match_signature(d)
         assert (window and (window["name"], window["offset"])) == found and start == (found[0] if found and found[1] == 0 else None)
 
 

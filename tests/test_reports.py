@@ -34,11 +34,10 @@ def test_corpora(spark, tmp_path):
 def test_fidelity_and_rates(spark):
     rows = [("rle", fixtures.plain(fixtures.IMPLICIT_LE + ".5", [b"", fixtures.rle_frame(fixtures.slice_pixels())])), ("plain", fixtures.plain()), ("j2k", fixtures.plain(fixtures.JPEG2000, [b"", b"\0" * 64]))]
     files = spark.createDataFrame([(k, k, 1, d) for k, d in rows], "file_id string, filename string, file_size long, content binary")
-    parsed = dicom.parsed(files)
-    made = disarm.disarm(files, parsed).join(parsed.select("file_id", "syntax"), "file_id")
+    made = disarm.disarm(files)
     got = {r["syntax"]: r for r in reports.fidelity_report(made, ["syntax"]).collect()}
     assert got[None]["lossless_bitexact"] == 2 and got[fixtures.JPEG2000]["skipped"] == 1 and got[None]["is_total"] == 1
-    rates = {r["subset"]: r for r in reports.mixed_rates(parsed.select(F.lit("block").alias("verdict"), "syntax", F.size("private").alias("n_private"))).collect()}
+    rates = {r["subset"]: r for r in reports.mixed_rates(dicom.parsed(files).select(F.lit("block").alias("verdict"), "syntax", F.size("private").alias("n_private"))).collect()}
     assert rates["all"]["block_rate"] == 1.0 and rates["compressed"]["n"] == 2 and "private" not in rates
 
 
