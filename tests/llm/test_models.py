@@ -104,6 +104,39 @@ def test_recall_and_exact_scores(spark, n):
     assert hits >= 0.9 * total
 
 
+@pytest.mark.parametrize("n", [2000, 6000])
+def test_codes_decide_and_recall_holds(spark, n, monkeypatch):
+    """Lists longer than the shortlist: what isn't among the best codes is never compared exactly, and recall holds."""
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(20, 32))[np.arange(n) % 20] + 0.5 * rng.normal(size=(n, 32))).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(ann, "PER_LIST", 1)
+    shortlist, asked = 40, range(0, n, 50)
+    got = {}
+    for r in ann.nearest(frame, every=50, shortlist=shortlist).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    model = ann.Index.fit(x.astype(float), int(n**0.5))
+    lists, codes = model.assign(x.astype(float))
+    assert np.bincount(lists).max() > shortlist  # so a shortlist leaves out even part of one list
+    hits = 0
+    for i in asked:
+        d = ((x.astype(float) - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hits += len(got[i] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits >= 0.9 * 10 * len(asked)
+    # asymmetric distances: the query against the coded vector, centroid and codebook entries put together
+    ids, q = np.flatnonzero(lists == lists[0]), x[:3].astype(float)
+    for row, (found, distance) in zip(q, model.rank(lists[0], q, codes[ids], ids, 7), strict=True):
+        whole = model.centres[lists[0]] + np.concatenate([model.books[m][codes[ids][:, m]] for m in range(codes.shape[1])], axis=1)
+        want = ((row - whole) ** 2).sum(1)
+        assert set(found) == set(ids[np.argsort(want, kind="stable")[:7]]) and np.allclose(np.sort(distance), np.sort(want)[:7], rtol=1e-4)
+
+
+def test_ties_in_codes_go_to_smaller_ids():
+    ids, distances = ann.best_of(np.array([9, 4, 7, 1]), np.array([1.0, 1.0, 0.5, 1.0], np.float32), 3)
+    assert ids.tolist() == [7, 1, 4] and distances.tolist() == [0.5, 1.0, 1.0]
+
+
 def test_empty(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     assert ann.nearest(spark.createDataFrame([(100, [1.0, 2.0])], "vec_id long, embedding array<float>")).collect() == []
