@@ -3,9 +3,11 @@
 Every notice of ``NOTICES`` is cut into k + 1 pieces; a passage within k edits of the notice holds at least one
 piece unchanged (pigeonhole). One automaton finds all pieces of all notices in a text; where one occurs, the
 window in which the notice would lie is searched by the regex library with at most k errors, which verifies
-the edits and gives the span. Overlapping spans of one notice keep the one with fewest edits, then the first.
+the edits and gives the span. Windows are as long as a notice and its edits, so the work is linear in the places where pieces
+occur. Overlapping spans of one notice keep the one with fewest edits, then the first; whatever lies within k edits of
+a notice overlaps a reported span of it.
 
-Besides, exact phrases of words are counted (``PHRASES``), anywhere in the text.
+Besides, exact phrases of words are counted (``PHRASES``), anywhere in the text, and identifier lines (``IDENTIFIERS``) are found exactly.
 
 Defined results: a null text is empty; a text without words has zero counts, empty labels and score 0; a row
 without doc_id is scanned and keeps its null; repeated rows are returned as often as they come; an empty
@@ -44,6 +46,11 @@ NOTICES = {
     "permission to use copy modify and or distribute this software for any purpose": "isc",
     "dedicated to the public domain under cc0": "cc0",
 }
+#: What follows the words of an identifier line, as normalised words, and its label.
+IDENTIFIERS = {
+    "spdx license identifier " + words: label
+    for words, label in {"mit": "mit", "apache": "apache", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "bsd": "bsd", "mpl": "mpl", "isc": "isc", "cc by": "cc-by", "cc0": "cc0"}.items()
+}
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 12
 
@@ -76,29 +83,46 @@ class Searcher:
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(start, end, notice's number, edits) of verified notices in normalised text, in order."""
-        windows: dict[int, list[list[int]]] = {}
+        starts: dict[int, set[int]] = {}
         for last, (size, where) in self.seeds.iter(text):
             for i, a in where:
-                notice, k = self.notices[i][0], self.edits[i]
-                start = last + 1 - size - a
-                lo, hi = max(0, start - k), min(len(text), start + len(notice) + k)
-                mine = windows.setdefault(i, [])
-                if mine and lo <= mine[-1][1]:
-                    mine[-1][0], mine[-1][1] = min(mine[-1][0], lo), max(mine[-1][1], hi)
-                    mine[-1][2] += 1
-                else:
-                    mine.append([lo, hi, 1])
-        found = []
-        for i, ranges in windows.items():
-            for lo, hi, _ in ranges:
-                # a search gives the best match of a range; others stand before and after it
-                ranges_left = [(lo, hi)]
-                while ranges_left:
-                    a, b = ranges_left.pop()
-                    if m := self.patterns[i].search(text, a, b):
-                        found.append((m.start(), m.end(), i, sum(m.fuzzy_counts)))
-                        ranges_left += [(a, m.start()), (m.end(), b)]
-        return sorted(found)
+                starts.setdefault(i, set()).add(last + 1 - size - a)
+        return sorted((a, b, i, edits) for i, places in starts.items() for edits, a, b in self._verified(text, i, sorted(places)))
+
+    def _verified(self, text: str, i: int, places: list[int]) -> list[tuple[int, int, int]]:
+        """(edits, start, end) of notice ``i``, from where its pieces say that it would start."""
+        size, k, spans = len(self.notices[i][0]), self.edits[i], []
+        for first, last in _runs(places, 2 * k, 4 * size):
+            todo = [(max(0, first - k), min(len(text), last + size + k))]
+            while todo:  # a search gives the best match of a range; others stand before and after it
+                a, b = todo.pop()
+                if b - a >= size - k and (m := self.patterns[i].search(text, a, b)):
+                    spans.append((sum(m.fuzzy_counts), m.start(), m.end()))
+                    todo += [(a, m.start()), (m.end(), b)]
+        return _apart(spans)
+
+
+def _runs(places: list[int], near: int, most: int) -> Iterator[tuple[int, int]]:
+    """First and last of runs of ascending numbers at most ``near`` apart and ``most`` long."""
+    first = last = places[0]
+    for p in places[1:]:
+        if p - last > near or p - first > most:
+            yield first, last
+            first = p
+        last = p
+    yield first, last
+
+
+def _apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (edits, start, end) those that don't overlap one with fewer edits, or as many and an earlier start."""
+    starts, ends, kept = [], [], []
+    for edits, a, b in sorted(set(spans)):
+        at = bisect_right(starts, a)
+        if (at == 0 or ends[at - 1] <= a) and (at == len(starts) or b <= starts[at]):
+            starts.insert(at, a)
+            ends.insert(at, b)
+            kept.append((edits, a, b))
+    return kept
 
 
 @lru_cache(4)
@@ -106,19 +130,22 @@ def _searcher(notices: tuple, chars_per_edit: int) -> Searcher:
     return Searcher(dict(notices), chars_per_edit)
 
 
-def phrase_places(joined: str, phrases: dict[str, str]) -> list[tuple[int, str]]:
-    """(word number, label) of each place where a phrase's words stand consecutively."""
-    found = []
+def phrase_spans(joined: str, phrases: dict[str, str]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, label) of each place where a phrase's words stand consecutively in space-joined words."""
     if any(p in joined for p in phrases):
-        padded, spaces = f" {joined} ", None
+        padded = f" {joined} "
         for phrase, label in phrases.items():
             at = padded.find(f" {phrase} ")
             while at >= 0:
-                if spaces is None:
-                    spaces = [i for i, c in enumerate(padded) if c == " "]
-                found.append((bisect_right(spaces, at) - 1, label))
+                yield at, at + len(phrase), label
                 at = padded.find(f" {phrase} ", at + 1)
-    return sorted(found)
+
+
+def phrase_places(joined: str, phrases: dict[str, str]) -> list[tuple[int, str]]:
+    """The same as (word number, label), in order."""
+    spans = list(phrase_spans(joined, phrases))
+    spaces = [i for i, c in enumerate(joined) if c == " "] if spans else []
+    return sorted((bisect_right(spaces, a), label) for a, _, label in spans)
 
 
 def scan(docs: DataFrame, notices: dict[str, str] | None = None, phrases: dict[str, str] | None = None, chars_per_edit: int = CHARS_PER_EDIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,6 +153,7 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, phrases: dict[s
 
     ``score`` is 1 where a phrase stands, else the best similarity of a notice, else 0.
     """
+    identifiers = IDENTIFIERS if notices is None else {}
     notices, phrases = tuple((notices or NOTICES).items()), dict(phrases or PHRASES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +166,8 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, phrases: dict[s
                     joined, n = normalise(text)
                     places = phrase_places(joined, phrases)
                     spans = [{"start": s, "end": e, "label": notices[k][1], "edits": d, "similarity": 1 - d / len(notices[k][0])} for s, e, k, d in searcher.find(joined)]
+                    spans += [{"start": s, "end": e, "label": label, "edits": 0, "similarity": 1.0} for s, e, label in phrase_spans(joined, identifiers)]
+                    spans.sort(key=lambda x: (x["start"], x["end"], x["label"]))
                     base = {x[1] for x in places}
                     best = 1.0 if places else max((x["similarity"] for x in spans), default=0.0)
                     rows.append((n, len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(base | {x["label"] for x in spans})), best, spans))
@@ -151,5 +181,6 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, phrases: dict[s
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License notices in every document."""
-    return scan(table(spark, sf_dir, "documents")).drop("spans")
+    """License notices in every document; ``spans`` as ``label:start:end:edits`` in the normalised text, comma-joined."""
+    told = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"].cast("string"), s["end"].cast("string"), s["edits"].cast("string"))), ",")
+    return scan(table(spark, sf_dir, "documents")).withColumn("spans", told)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from scanlake.llm import licenses, pii
@@ -124,3 +125,51 @@ def test_inexact_notices_before_an_exact_one():
     """All notices of a merged window are found, not only those behind its best one."""
     found = licenses.Searcher({"licensed under cc by": "cc"}, 20).find("licensed undr cc by licensed under cc by licenced under cc by")
     assert [(e, d) for _, e, _, d in found] == [(19, 1), (40, 0), (61, 1)]
+
+
+def distances(notice, text):
+    """least[e][s]: the edit distance of ``text[s:e]`` to the notice, by the plain recurrence, for all s and e."""
+    out = {}
+    for s in range(len(text) + 1):
+        row = list(range(len(notice) + 1))
+        out[s, s] = row[-1]
+        for e in range(s, min(len(text), s + 2 * len(notice))):
+            new = [row[0] + 1]
+            for j, c in enumerate(notice):
+                new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (c != text[e])))
+            row = new
+            out[s, e + 1] = row[-1]
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["mit terms apply here", "given by acme inc now", "some other words", "x"]), st.lists(st.tuples(st.integers(0, 24), st.sampled_from(["", "q", "zz", " "])), max_size=3)), min_size=1, max_size=4))
+def test_fuzzy_spans_against_edit_distances(parts):
+    """Each span has the edits it states and no more than allowed; whatever is within the bound overlaps a span of its notice."""
+    notices = {"mit terms apply here": "a", "given by acme inc now": "b"}
+    pieces = []
+    for text, changes in parts:
+        for at, new in changes:
+            text = text[:at] + new + text[at + 1 :]
+        pieces.append(text)
+    text = " ".join(" ".join(pieces).split())
+    searcher = licenses.Searcher(notices, 10)
+    found = searcher.find(text)
+    for i, notice in enumerate(notices):
+        least, k = distances(notice, text), searcher.edits[i]
+        mine = [(a, b) for a, b, j, edits in found if j == i and (least[a, b] == edits <= k or pytest.fail(f"{text!r} {a} {b} {edits} {least[a, b]}"))]
+        assert all(b <= c for (_, b), (c, _) in zip(mine, mine[1:], strict=False))
+        for (s, e), d in least.items():
+            assert d > k or any(s < b and a < e for a, b in mine), (text, s, e, d, mine)
+
+
+def test_many_notices_and_identifiers(spark):
+    """Several notices in one text, in any order, thousands of them, and identifier lines."""
+    one = "Released under thx MIT license. Licensed undr CC BY. Licensed under the Apache License version 2."
+    texts = [one, " ".join([one] * 3000), "SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: mitx", "released under the mit license released undr the mit license"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(rows).collect()}
+    assert [s["label"] for s in got[0]["spans"]] == ["mit", "cc-by", "apache"] and [s["edits"] for s in got[0]["spans"]] == [1, 1, 0]
+    assert len(got[1]["spans"]) == 9000
+    assert got[2]["labels"] == "apache" and [(s["start"], s["end"]) for s in got[2]["spans"]] == [(0, 30)] and got[3]["labels"] == ""
+    assert [s["edits"] for s in got[4]["spans"]] == [0, 1]
