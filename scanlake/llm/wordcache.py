@@ -32,24 +32,33 @@ class PieceEncoder:
 
     Unknown pieces are encoded many at a time: joined by ``glue``, around a mark that is one id, which
     the tokenizer never merges with its neighbours where ``joinable`` holds for them; the others go singly.
+
+    The strings of added tokens are ordinary text with ``plain``. Otherwise the library takes them for these tokens
+    wherever it finds them, and a text that holds one is encoded whole.
     """
 
     _made: dict = {}
     MARK = "\x1e"
 
-    def __init__(self, vocab: str, split: Callable[[str], list[str]], glue: str, joinable: Callable[[str], bool]) -> None:
+    def __init__(self, vocab: str, split: Callable[[str], list[str]], glue: str, joinable: Callable[[str], bool], plain: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocab)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain
+        # added tokens can be looked for behind the normaliser, so letters are compared without case
+        self.added = [] if plain else [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.split, self.glue, self.joinable, self.known = split, glue, joinable, {}
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
+    def _whole(self, text: str) -> bool:
+        low = text.lower() if self.added else ""
+        return any(a in low for a in self.added)
+
     def _fresh(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
-        joined = [p for p in pieces if self.mark is not None and self.MARK not in p and self.joinable(p)]
+        joined = [p for p in pieces if self.mark is not None and self.MARK not in p and self.joinable(p) and not self._whole(p)]
         groups = [joined[i : i + 128] for i in range(0, len(joined), 128)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([self.glue.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids, size = np.array(e.ids, self.dtype), self.dtype.itemsize
@@ -67,7 +76,7 @@ class PieceEncoder:
         if len(known) > LIMIT:  # what came first is the most frequent
             for p in list(known)[LIMIT // 2 :]:
                 del known[p]
-        pieces = [self.split(t) for t in texts]
+        pieces = [[t] if self._whole(t) else self.split(t) for t in texts]
         new: set[str] = set()
         for ps in pieces:
             new.update(set(ps).difference(known))
@@ -88,5 +97,5 @@ class WordEncoder(PieceEncoder):
     def of(cls, vocab: str) -> "WordEncoder":
         """This worker's encoder for ``vocab``; made once."""
         if (key := (cls, vocab)) not in cls._made:
-            cls._made[key] = cls(vocab, words, f" {cls.MARK} ", lambda p: True)
+            cls._made[key] = cls(vocab, words, f" {cls.MARK} ", lambda p: True, plain=False)
         return cls._made[key]

@@ -9,16 +9,19 @@ import public_tokenizers
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from scanlake.llm import bpe, packing
+from scanlake.llm import bpe, packing, wordcache
 from tokenizers import Tokenizer
 
 TEXTS = [
     "It's we're 12ab  \n\n x \x1e foo\x1e, <|endoftext|> é́ 你好 \U0001f600‍!! ' ''s",
     "", None, " ", "\t\n", "a" * 5000, "word " * 9000, "Σίσυφος ΣΑΣ İstanbul ß", "\x1c\x1d a\x1fb\x85c d", "tab\tnew\nline\r\n", "<|startoftext|>", "1234567 3.14 x1y2",
+    "hello <|endoftext|> world", "a<|ENDOFTEXT|><|startoftext|>b \x1e c <|endoftext|", "long " * 3000 + "<|endoftext|>" + " tail" * 3000,
 ]
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
 TIK = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
 
 def frame(spark, texts):
     return spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, ids int").repartition(3)
@@ -57,10 +60,21 @@ def test_any_text(text):
     assert ids.tolist() == TIK.encode_ordinary(text) and coder.decode(ids) == text
 
 
+def test_added_tokens_are_those_of_the_library():
+    (ids,) = wordcache.WordEncoder.of(public_tokenizers.path("word_bpe_49k.json")).encode(["hello <|endoftext|> world"])
+    assert ids.tolist() == LIBRARY.encode("hello <|endoftext|> world", add_special_tokens=False).ids and 49407 in ids.tolist()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", " ", "<|endoftext|>", "<|", "|>", "endoftext", "<|StartOfText|>", "\x1e", "\n", "é", "1"]), max_size=12))
+def test_any_mixture_of_words_and_added_tokens(parts):
+    text = "".join(parts)
+    (ids,) = wordcache.WordEncoder.of(public_tokenizers.path("word_bpe_49k.json")).encode([text])
+    assert ids.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def check(pieces, texts, size):
-    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    plain.encode_special_tokens = True
-    ids = {i: [*plain.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    ids = {i: [*LIBRARY.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
     got, seqs = {}, {}
     for r in pieces:
         part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
