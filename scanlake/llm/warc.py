@@ -39,6 +39,8 @@ _ARROW = pa.schema([*((c, pa.string()) for c in _TEXTS), ("http", pa.binary()),
 _SET = {"warc-type", "warc-record-id", "warc-target-uri", "warc-date", "warc-refers-to", "warc-refers-to-target-uri", "warc-refers-to-date", "warc-payload-digest", "warc-profile", "content-length"}
 #: Records of these types may become revisits.
 RESOLVED = ("response", "resource")
+#: Level of compression of archives that last.
+LEVEL = 6
 EPOCH = "1970-01-01T00:00:00Z"
 
 
@@ -84,16 +86,21 @@ def write_archives(records: DataFrame, path: str, fast: bool = False) -> None:
 
     ``fast`` compresses less, for archives that don't last.
     """
-    columns = [*_TEXTS, "http", "payload", "payload_digest"]
+    level = 1 if fast else LEVEL
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):
-                made = [gzip_row(build_record(r), 1 if fast else 6) for r in b.slice(i, 512).to_pylist()]
+                made = [gzip_row(build_record(r), level) for r in b.slice(i, 512).to_pylist()]
                 yield pa.record_batch([pa.array(made, pa.binary())], names=["value"])
 
-    records.select(*columns).mapInArrow(build, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").text(path)
-    _named(records.sparkSession, path)
+    _write(records.select(*_TEXTS, "http", "payload", "payload_digest").mapInArrow(build, "value binary"), path)
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    """Write rows ``value``, each from ``gzip_row``, as archives."""
+    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").text(path)
+    _named(rows.sparkSession, path)
 
 
 def _named(spark: SparkSession, path: str) -> None:
@@ -232,17 +239,31 @@ def resolve_revisits(spark: SparkSession, source: str, target: str, min_bytes: i
         .filter((F.col("rec_type") == "revisit") | (eligible & first("file").isNotNull() & ~mine))
         .select(*place, F.lit(True).alias("old"), *[first(c).alias(f"to_{c}") for c in ("record_id", "target_uri", "date")])
     )
-    old = F.coalesce("old", F.lit(False))
-    refers = {"refers_to": "to_record_id", "refers_to_uri": "to_target_uri", "refers_to_date": "to_date"}
-    fresh = records.join(fate, place, "left").withColumns(
-        {
-            "rec_type": F.when(old, "revisit").otherwise(F.col("rec_type")),
-            # a revisit without an original here keeps what it referred to
-            **{c: F.when(old & F.col("to_record_id").isNotNull(), F.col(new)).otherwise(F.col(c)) for c, new in refers.items()},
-            "payload": F.when(~old, F.col("payload")),
-        }
-    )
-    write_archives(fresh, target)
+    headers = [*_TEXTS, "http", "payload_digest"]
+    # a record that stays is packed before it is shuffled, so that what crosses the network is compressed as in an archive
+    joined = records.select(*place, *headers, "payload").mapInArrow(_packed, f"file long, ordinal long, {', '.join(f'{c} string' for c in _TEXTS)}, http binary, payload_digest string, value binary").join(fate, place, "left")
+    _write(joined.select("value", "old", "to_record_id", "to_target_uri", "to_date", *headers).mapInArrow(_settled, "value binary"), target)
+
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the last column, the payload, by the record as it stands in an archive."""
+    for b in batches:
+        for i in range(0, b.num_rows, 512):
+            part = b.slice(i, 512)
+            made = [gzip_row(build_record(r), LEVEL) for r in part.to_pylist()]
+            yield pa.record_batch([*part.columns[:-1], pa.array(made, pa.binary())], names=[*part.schema.names[:-1], "value"])
+
+
+def _settled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed records as they are, or as revisits of the original that they were joined with; one without an original here keeps what it referred to."""
+    for b in batches:
+        for i in range(0, b.num_rows, 1024):
+            part = b.slice(i, 1024)
+            made, old = part.column(0).to_pylist(), part.column(1).to_pylist()
+            for k, r in enumerate(part.to_pylist() if any(old) else ()):
+                if r["old"] and r["to_record_id"] is not None:
+                    made[k] = gzip_row(build_record(r | {"rec_type": "revisit", "payload": None, "refers_to": r["to_record_id"], "refers_to_uri": r["to_target_uri"], "refers_to_date": r["to_date"]}), LEVEL)
+            yield pa.record_batch([pa.array(made, pa.binary())], names=["value"])
 
 
 def pages_from_archives(spark: SparkSession, path: str) -> DataFrame:
