@@ -4,8 +4,10 @@ Base spans (e-mail, ip, card, phone) are always reported. Besides, looser patter
 kinds (secrets, social security numbers, IBANs, local phone numbers). ``LABELERS`` vote on every candidate: 1 for
 personal data, 0 against, 2 abstains. Votes are counted over the whole corpus by vote pattern (at most
 kinds x 3**labelers of them); on these counts expectation-maximisation estimates every labeler's
-reliability, and a logistic classifier is trained on the posteriors. A candidate becomes a span if the
-classifier gives it 0.5 or more and it overlaps no base span.
+reliability. A logistic span classifier is trained on the posteriors; it sees, besides kind and votes, the span's
+length, entropy, digits, capitals and separators and the word before it (``FIELDS``, ``CONTEXT``). It learns from at most ``SAMPLE``
+distinct candidates, chosen by a hash and weighted by how often they occur; the reliabilities, and the decision on every
+candidate, cover the whole corpus. A candidate becomes a span if the classifier gives it 0.5 or more and it overlaps no other.
 
 Texts are read once: base spans, candidates and votes go to a table in the shared folder.
 
@@ -19,12 +21,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlake.llm.common import table, written
@@ -151,21 +155,54 @@ def _by_variety(kind: str, s: str, before: str, after: str) -> int:
 LABELERS = (_by_shape, _by_checksum, _by_gazetteer, _by_cue, _by_assignment, _by_boundary, _by_variety)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, kind's number, end, votes as a number in base 3) of base spans and of further candidates clear of them."""
+#: Features of a span besides kind and votes: so many fields of eight steps each, and so many buckets of the word before it.
+FIELDS, CONTEXT = 5, 64
+#: Distinct candidates that the span classifier learns from at most.
+SAMPLE = 20_000
+
+
+def shape(s: str, before: str) -> int:
+    """The features of a span as one number: ``FIELDS`` digits in base 8, and above them the bucket of the word before it."""
+    n = len(s)
+    word = re.findall(r"\w+", before.lower())[-1:]
+    steps = (min(7, n // 6), min(7, int(2 * _entropy(s))), 7 * len(_digits(s)) // n, 7 * sum(c.isupper() for c in s) // n, min(7, sum(not c.isalnum() for c in s)))
+    return sum(v * 8**i for i, v in enumerate(steps)) + 8**FIELDS * (zlib.crc32(word[0].encode()) % CONTEXT if word else 0)
+
+
+class _Taken:
+    """Places in a text that spans take, in order; asking for a place takes time in the logarithm of the spans."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]) -> None:
+        self.places: list[tuple[int, int]] = []
+        for a, _, b in sorted(spans):
+            if self.places and a < self.places[-1][1]:  # base spans of different kinds can overlap
+                self.places[-1] = (self.places[-1][0], max(b, self.places[-1][1]))
+            else:
+                self.places.append((a, b))
+
+    def take(self, a: int, b: int) -> bool:
+        """Take a place if it overlaps none taken before."""
+        at = bisect_left(self.places, (b,))
+        if at and self.places[at - 1][1] > a:
+            return False
+        insort(self.places, (a, b))
+        return True
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(start, kind's number, end, votes as a number in base 3, ``shape``) of base spans and of further candidates clear of them."""
     spans = list(base)
     if _DIGIT.search(text):
+        taken = _Taken(base)
         for k, kind in enumerate(KINDS[len(BASE) :], len(BASE)):
-            for m in _EXTRA[kind].finditer(text):
-                if not any(a < m.end() and m.start() < b for a, _, b in spans):
-                    spans.append((m.start(), k, m.end()))
+            spans += [(m.start(), k, m.end()) for m in _EXTRA[kind].finditer(text) if taken.take(m.start(), m.end())]
     out = []
     for a, k, b in sorted(spans):
         before, s, after = text[max(0, a - 40) : a], text[a:b], text[b : b + 8]
         votes = 0
         for f in LABELERS:
             votes = votes * 3 + f(KINDS[k], s, before, after)
-        out.append((a, k, b, votes))
+        out.append((a, k, b, votes, shape(s, before)))
     return out
 
 
@@ -196,39 +233,45 @@ def reliabilities(counts: dict[tuple[int, int], int], rounds: int = 50) -> tuple
     return dict(zip(patterns, post.tolist(), strict=True)), reliability
 
 
-def _features(kind: int, code: int) -> np.ndarray:
-    x = np.zeros(1 + len(KINDS) + 2 * len(LABELERS))
-    x[0] = x[1 + kind] = 1
-    for i, v in enumerate(_votes(code)):
-        if v != 2:
-            x[1 + len(KINDS) + 2 * i + v] = 1
-    return x
+#: Parts of the classifier's weights: bias, kinds, votes of each labeler, fields, context; each candidate has one weight of each.
+_PARTS = [1, len(KINDS), *[3] * len(LABELERS), *[8] * FIELDS, CONTEXT]
+_STARTS = np.cumsum([0, *_PARTS])
 
 
-def span_classifier(counts: dict[tuple[int, int], int], posterior: dict[tuple[int, int], float], steps: int = 400, ridge: float = 1e-3) -> np.ndarray:
-    """Logistic weights trained on posteriors, each pattern weighted by the square root of its count."""
-    if not counts:
-        return np.zeros(1 + len(KINDS) + 2 * len(LABELERS))
-    patterns = sorted(counts)
-    x = np.stack([_features(*p) for p in patterns])
-    y, w = np.array([posterior[p] for p in patterns]), np.sqrt([counts[p] for p in patterns])
-    w, theta = w / w.sum(), np.zeros(x.shape[1])
+def _steps(kind, votes, shape) -> list:
+    """Which weight of each part of ``_PARTS`` applies, for numbers, arrays or Columns."""
+    whole = (lambda x, d: F.floor(x / d)) if isinstance(votes, Column) else (lambda x, d: x // d)
+    n = len(LABELERS)
+    return [kind * 0, kind, *[whole(votes, 3 ** (n - 1 - i)) % 3 for i in range(n)], *[whole(shape, 8**i) % 8 for i in range(FIELDS)], whole(shape, 8**FIELDS)]
+
+
+def span_classifier(rows: list[tuple[int, int, int, int]], posterior: dict[tuple[int, int], float], steps: int = 40, ridge: float = 1e-4) -> np.ndarray:
+    """Logistic weights from (kind, votes, shape, count) and the posteriors of (kind, votes); a row weighs the root of its count."""
+    size = int(_STARTS[-1])
+    if not rows:
+        return np.zeros(size)
+    kind, votes, shapes, counts = np.array(rows, np.int64).T
+    x = np.zeros((len(rows), size), np.float32)
+    for start, step in zip(_STARTS, _steps(kind, votes, shapes), strict=False):
+        x[np.arange(len(rows)), start + step] = 1
+    y, w = np.array([posterior[k, v] for k, v in zip(kind.tolist(), votes.tolist(), strict=True)]), np.sqrt(counts)
+    w, theta = w / w.sum(), np.zeros(size)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        hessian = (x.T * (w * p * (1 - p) + 1e-9)) @ x + ridge * np.eye(len(theta))
+        hessian = (x.T * (w * p * (1 - p) + 1e-9)) @ x + ridge * np.eye(size)
         step = np.linalg.solve(hessian, x.T @ (w * (p - y)) + ridge * theta)
         theta -= step
-        if abs(step).max() < 1e-9:
+        if abs(step).max() < 1e-6:
             break
     return theta
 
 
-_SPANS = "array<struct<start: long, kind: int, `end`: long, votes: int>>"
+_SPANS = "array<struct<start: long, kind: int, `end`: long, votes: int, shape: int>>"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``' columns and ``_spans``: candidates with votes, base ones among them. One pass over the texts."""
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("votes", pa.int32())]))
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("votes", pa.int32()), ("shape", pa.int32())]))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,30 +281,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 found = []
                 for text in part.column(at).to_pylist():
                     spans = candidates(text, base) if text and ((base := base_spans(text)) or _DIGIT.search(text)) else []
-                    found.append([{"start": a, "kind": k, "end": e, "votes": v} for a, k, e, v in spans])
+                    found.append([{"start": a, "kind": k, "end": e, "votes": v, "shape": h} for a, k, e, v, h in spans])
                 yield pa.record_batch([*part.columns, pa.array(found, kind)], names=[*part.schema.names, "_spans"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}, _spans {_SPANS}")
 
 
-def accepted(scanned: DataFrame, least: float = 0.5) -> set[tuple[int, int]]:
-    """The (kind, votes) patterns that become spans, learnt from vote counts over all of ``scanned``."""
-    rows = scanned.select(F.explode("_spans").alias("s")).groupBy("s.kind", "s.votes").count().collect()  # bounded by the number of vote patterns
-    counts = {(r["kind"], r["votes"]): r["count"] for r in rows}
-    posterior, _ = reliabilities(counts)
-    theta = span_classifier(counts, posterior)
-    return {p for p in counts if p[0] < len(BASE) or 1 / (1 + math.exp(-float(_features(*p) @ theta))) >= least}
+def learnt(scanned: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """The span classifier's weights: reliabilities from vote counts over all of ``scanned``, the classifier from at most ``sample`` of its distinct candidates."""
+    counted = written(scanned.select(F.explode("_spans").alias("s")).groupBy("s.kind", "s.votes", "s.shape").count(), "pii-votes")
+    patterns = counted.groupBy("kind", "votes").agg(F.sum("count").alias("n")).collect()  # bounded by the number of vote patterns
+    posterior, _ = reliabilities({(r["kind"], r["votes"]): r["n"] for r in patterns})
+    chosen = counted.orderBy(F.xxhash64("kind", "votes", "shape"), "kind", "votes", "shape").limit(sample).collect()
+    return span_classifier([tuple(r) for r in chosen], posterior)
 
 
-def _final(scanned: DataFrame) -> DataFrame:
-    """``scanned`` with ``_spans`` cut down to those reported."""
-    patterns = sorted(k * 3 ** len(LABELERS) + v for k, v in accepted(scanned))
-    key = lambda s: s["kind"] * 3 ** len(LABELERS) + s["votes"]
-    return scanned.withColumn("_spans", F.filter("_spans", lambda s: (s["kind"] < len(BASE)) | key(s).isin(patterns)))
+def _final(scanned: DataFrame, least: float = 0.5) -> DataFrame:
+    """``scanned`` with ``_spans`` cut down to those reported: base ones, and those that the classifier gives ``least`` or more."""
+    theta = learnt(scanned)
+    weights = [F.array(*[F.lit(float(x)) for x in theta[a:b]]) for a, b in zip(_STARTS, _STARTS[1:], strict=False)]
+    score = lambda s: sum(F.get(w, step.cast("int")) for w, step in zip(weights, _steps(s["kind"], s["votes"], s["shape"]), strict=True))
+    return scanned.withColumn("_spans", F.filter("_spans", lambda s: (s["kind"] < len(BASE)) | (score(s) >= math.log(least / (1 - least)))))
 
 
-def _joined(spans: "F.Column") -> "F.Column":
+def _joined(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 

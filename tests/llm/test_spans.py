@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -173,3 +174,58 @@ def test_many_notices_and_identifiers(spark):
     assert len(got[1]["spans"]) == 9000
     assert got[2]["labels"] == "apache" and [(s["start"], s["end"]) for s in got[2]["spans"]] == [(0, 30)] and got[3]["labels"] == ""
     assert [s["edits"] for s in got[4]["spans"]] == [0, 1]
+
+
+def plain_em(rows, rounds=50):
+    """Expectation-maximisation one vote row at a time, from the definitions."""
+    n = len(rows[0])
+    start = {0: [0.4, 0.1, 0.5], 1: [0.1, 0.4, 0.5]}
+    table = [{c: list(start[c]) for c in (0, 1)} for _ in range(n)]
+    prior = 0.5
+    for _ in range(rounds):
+        post = []
+        for votes in rows:
+            like = {}
+            for c, p in ((0, 1 - prior), (1, prior)):
+                like[c] = p
+                for k, v in enumerate(votes):
+                    like[c] *= table[k][c][v]
+            post.append(like[1] / (like[0] + like[1]))
+        for k in range(n):
+            for c in (0, 1):
+                mass = [2 * x for x in start[c]]
+                for votes, p in zip(rows, post, strict=True):
+                    mass[votes[k]] += p if c else 1 - p
+                table[k][c] = [m / sum(mass) for m in mass]
+        prior = min(0.95, max(0.05, sum(post) / len(post)))
+    return post, table
+
+
+def test_reliabilities_against_plain_em():
+    rng, n = random.Random(4), len(pii.LABELERS)
+    rows = [[rng.choice([0, 1, 2, 2]) if rng.random() < 0.5 else int(i % 3 == 0) for _ in range(n)] for i in range(60)]
+    rows += rows[:20]  # repeated patterns
+    codes = [sum(v * 3 ** (n - 1 - k) for k, v in enumerate(votes)) for votes in rows]
+    post, table = plain_em(rows)
+    got, reliability = pii.reliabilities({(4, c): codes.count(c) for c in codes})
+    assert all(abs(got[4, c] - p) < 1e-6 for c, p in zip(codes, post, strict=True))
+    assert all(abs(reliability[k, c, v] - table[k][c][v]) < 1e-6 for k in range(n) for c in (0, 1) for v in range(3))
+
+
+def test_the_classifier_looks_at_the_span():
+    """Where votes weren't seen in training, what the text of a span and the word before it tell decides."""
+    code = 3 ** len(pii.LABELERS) - 1  # every labeler abstains
+    good, bad = pii.shape("aB3" * 9, 'token = "'), pii.shape("1" * 27, "serial ")
+    theta = pii.span_classifier([(4, code - 1, good, 500), (4, code - 2, bad, 500)], {(4, code - 1): 0.99, (4, code - 2): 0.01})
+    score = lambda h: sum(theta[a + int(i)] for a, i in zip(pii._STARTS, pii._steps(4, code, h), strict=False))
+    assert score(good) > 1 > -1 > score(bad)
+    assert pii.shape("abc", "") != pii.shape("abc", "token") and 0 <= pii.shape("é" * 1000, "x") < 2**31
+
+
+def test_many_spans_in_one_text():
+    """Time grows with the spans, not with their square; overlapping candidates give way to earlier ones."""
+    text = " ".join(f"(212) 555-{i % 10000:04d}, 123-45-{i % 10000:04d};" for i in range(20_000))
+    began = time.time()
+    assert len(pii.candidates(text, pii.base_spans(text))) == 40_000 and time.time() - began < 20
+    spans = pii.candidates("1.2.3.4 4111-1111-1111-1111 x 123-45-6789", pii.base_spans("1.2.3.4 4111-1111-1111-1111 x 123-45-6789"))
+    assert [pii.KINDS[k] for _, k, *_ in spans] == ["ip", "card", "ssn"]
