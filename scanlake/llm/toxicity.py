@@ -2,13 +2,14 @@
 
 Voters. ``SEEDS`` and ``PATTERNS`` are given; further lexicon entries (words, and beginnings of words, which catch
 inflected and compounded forms) are mined from labelled training rows: those that are frequent in toxic and all
-but absent in other texts. Each voter votes for toxic where its entry occurs, else abstains; one voter votes
-against where no entry occurs.
+but absent in other texts. Each voter votes for toxic where its entry occurs, else abstains. ``AGAINST`` voters vote against,
+by evidence of their own, whether or not an entry occurs: words that are frequent in other texts and rare in toxic
+ones (mined into ``PARTS`` lexicons of their own), long texts that address nobody, and the silence of all entries. Else they abstain.
 
 Label model. A generative model with one latent class per text gives every voter its rates under both classes,
 fitted by expectation-maximisation on the votes. Voters that agree beyond what the class explains
-(correlation of residuals) share their weight. Its posteriors, not the labels, are the targets of a logistic
-classifier over occurrences of entries, which scores every text.
+(pairwise correlation of residuals, taken after the first rounds) share their weight. Its posteriors, not the labels, are the
+targets of a logistic classifier over occurrences of entries, which scores every text.
 
 Only rows outside the held-out fold (crc32 of the id modulo 5 is not 0) are learnt from: at most
 ``SAMPLE`` of them, chosen by a hash of the id. That bounds the driver's memory; scoring covers all texts.
@@ -44,6 +45,14 @@ PREFIXES = range(3, 9)
 #: An entry is in so many toxic texts of the sample; of the texts it is in, so large a part is toxic; so many texts it adds.
 SUPPORT, PRECISION, GAIN = 4, 0.93, 2
 VOTERS = 400
+#: Lexicons of words that speak against, and words of them; how many voters against there are.
+PARTS, FRIENDLY = 2, 40
+AGAINST = PARTS + 2
+#: Words of a text that counts as long, and words that address somebody.
+LONG = 40
+_ADDRESS = frozenset("you your yours yourself u ur du dich dir ihr tu te toi vous tú usted vosotros".split())
+#: Residual correlation from which voters share their weight.
+CORRELATED = 0.3
 _WORD = re.compile(r"\w+")
 _PATTERN = re.compile("|".join(PATTERNS))
 
@@ -101,23 +110,33 @@ def mine(texts: list[str | None], toxic: np.ndarray, given: list[str] = (), supp
     return chosen
 
 
-def label_model(votes: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior per text, rates[voter, class] of voting, and the prior. ``votes`` holds 0/1 (occurs); the last column is the vote against.
+def friendly(texts: list[str | None], toxic: np.ndarray, words: int = FRIENDLY, parts: int = PARTS) -> list[set[str]]:
+    """Lexicons of the ``words`` words whose share among other texts most exceeds that among toxic ones, dealt out by rank."""
+    counts = [Counter(w for i, t in enumerate(texts) if bool(toxic[i]) == c for w in text_words(t)) for c in (False, True)]
+    n = np.bincount(toxic.astype(int), minlength=2) + 2
+    lead = {w: k / n[0] - (counts[1][w] + 1) / n[1] for w, k in counts[0].items()}
+    best = sorted((w for w in lead if lead[w] > 0), key=lambda w: (-lead[w], w))[:words]
+    return [set(best[k::parts]) for k in range(parts)]
 
-    Residual correlations of voters within the classes set their weights: voters that always fire together
-    count as one.
+
+def label_model(votes: np.ndarray, against: int = 1, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, float]:
+    """Posterior per text, rates[voter, class] of voting, and the prior. ``votes`` holds 1 where a voter votes, 0 where it abstains.
+
+    The last ``against`` columns are voters against. Residual correlations of voters within the classes set
+    their weights: voters that always vote together count as one.
     """
     v = votes.astype(float)
-    post = np.clip(np.where(v[:, -1] > 0, 0.05, 0.95), 0.01, 0.99)
+    pro, con = v[:, :-against].any(1), v[:, -against:].any(1)
+    post = np.where(pro, 0.95, np.where(con, 0.05, 0.1))
     weight = np.ones(v.shape[1])
     for r in range(rounds):
         prior = float(np.clip(post.mean(), 0.01, 0.99))
         rates = np.stack([((1 - post) @ v + 0.02) / ((1 - post).sum() + 1), (post @ v + 0.05) / (post.sum() + 1)], 1)
-        if r == 2 and len(v) > 2:
+        if r == 2 and len(v) > 2:  # later, classes may have come to be what a group of voters says, which explains its agreement away
             residual = v - (post[:, None] * rates[:, 1] + (1 - post)[:, None] * rates[:, 0])
             sd = np.sqrt((residual**2).mean(0)) + 1e-9
             near = np.clip((residual.T @ residual) / len(v) / sd[:, None] / sd[None, :], 0, 1)
-            near[near < 0.3] = 0
+            near[near < CORRELATED] = 0
             np.fill_diagonal(near, 1)
             weight = 1 / near.sum(1)
         fire = weight * (np.log(rates[:, 1]) - np.log(rates[:, 0]))
@@ -166,15 +185,17 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
     if not y.any() or y.all():
         return Model(dict.fromkeys(entries, 4.0), 4.0, 0.0, -3.0)
     index = {t: i for i, t in enumerate(entries)}
-    votes = np.zeros((len(texts), len(entries) + 2), np.float32)
+    n, calm = len(entries), friendly(texts, y)
+    votes = np.zeros((len(texts), n + 1 + AGAINST), np.float32)
     for i, text in enumerate(texts):
-        for t in {t for w in text_words(text) for t in terms(w)} & index.keys():
-            votes[i, index[t]] = 1
-        votes[i, -2] = bool(_PATTERN.search((text or "").lower()))
-        votes[i, -1] = not votes[i, :-1].any()
-    post, _, _ = label_model(votes)
-    theta = logistic(votes.astype(float), post)
-    return Model(dict(zip(entries, theta[: len(entries)].tolist(), strict=True)), float(theta[-3]), float(theta[-2]), float(theta[-1]))
+        words = text_words(text)
+        hits = {t for w in words for t in terms(w)} & index.keys()
+        votes[i, [index[t] for t in hits]] = 1
+        votes[i, n] = bool(_PATTERN.search((text or "").lower()))
+        votes[i, n + 1 :] = [*[bool(words & f) for f in calm], len(words) >= LONG and not words & _ADDRESS, not votes[i, : n + 1].any()]
+    post, _, _ = label_model(votes, AGAINST)
+    theta = logistic(votes[:, [*range(n + 1), -1]].astype(float), post)
+    return Model(dict(zip(entries, theta[:n].tolist(), strict=True)), float(theta[n]), float(theta[n + 1]), float(theta[-1]))
 
 
 def fold(id_col: str = "doc_id") -> "F.Column":
@@ -188,7 +209,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
-    return texts.join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    first = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")  # of texts that repeat an id always the same one
+    return texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(first).select("doc_id", "text", "toxic")
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

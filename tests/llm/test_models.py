@@ -62,6 +62,30 @@ def test_label_model_weighs_correlated_voters():
     assert ((post > 0.5) == y).mean() > 0.85
 
 
+def test_posteriors_beat_any_vote():
+    """Good and bad voters for, independent voters against: the label model finds who is right, which taking any vote can't."""
+    rng = np.random.default_rng(3)
+    y = rng.random(4000) < 0.2
+    vote = lambda p1, p0: np.where(y, rng.random(4000) < p1, rng.random(4000) < p0)
+    pro = np.stack([vote(0.6, 0.01), vote(0.55, 0.01), vote(0.5, 0.02), vote(0.25, 0.2), vote(0.2, 0.2)], 1)
+    con = np.stack([vote(0.1, 0.7), vote(0.15, 0.8)], 1)
+    post, rates, prior = toxicity.label_model(np.c_[pro, con], against=2)
+    right, anybody = ((post > 0.5) == y).mean(), (pro.any(1) == y).mean()
+    assert right > 0.93 and right > anybody + 0.1 and abs(prior - 0.2) < 0.06
+    assert abs(rates[0, 1] - 0.6) < 0.1 and abs(rates[3, 0] - 0.2) < 0.05  # accuracies as drawn
+    silent = toxicity.label_model(np.zeros((5, 4)))[0]
+    assert np.isfinite(silent).all()
+
+
+def test_rows_that_repeat_an_id_train_alike(spark):
+    """Two texts with one id: always the same one is learnt from, in whatever order they come."""
+    rows, labels = corpus(300)
+    twice = [*rows, *((i, "other " + t) for i, t in rows)]
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    a, b = (toxicity.fit(spark.createDataFrame(x, "doc_id long, text string").repartition(n), marks) for x, n in ((twice, 1), (twice[::-1], 5)))
+    assert a == b
+
+
 def brute(rows, k=10, every=100):
     ok = {}
     for i, v in rows:

@@ -227,5 +227,6 @@ def test_many_spans_in_one_text():
     text = " ".join(f"(212) 555-{i % 10000:04d}, 123-45-{i % 10000:04d};" for i in range(20_000))
     began = time.time()
     assert len(pii.candidates(text, pii.base_spans(text))) == 40_000 and time.time() - began < 20
-    spans = pii.candidates("1.2.3.4 4111-1111-1111-1111 x 123-45-6789", pii.base_spans("1.2.3.4 4111-1111-1111-1111 x 123-45-6789"))
+    text = "1.2.3.4, 4111-1111-1111-1111 x 123-45-6789"
+    spans = pii.candidates(text, pii.base_spans(text))
     assert [pii.KINDS[k] for _, k, *_ in spans] == ["ip", "card", "ssn"]
