@@ -119,15 +119,14 @@ def friendly(texts: list[str | None], toxic: np.ndarray, words: int = FRIENDLY,
     return [set(best[k::parts]) for k in range(parts)]
 
 
-def label_model(votes: np.ndarray, against: int = 1, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, float]:
+def label_model(votes: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, float]:
     """Posterior per text, rates[voter, class] of voting, and the prior. ``votes`` holds 1 where a voter votes, 0 where it abstains.
 
-    The last ``against`` columns are voters against. Residual correlations of voters within the classes set
-    their weights: voters that always vote together count as one.
+    Which class a voter speaks for comes out of its rates; the last one, which must vote against, says where they start. Residual
+    correlations of voters within the classes set their weights: voters that always vote together count as one.
     """
     v = votes.astype(float)
-    pro, con = v[:, :-against].any(1), v[:, -against:].any(1)
-    post = np.where(pro, 0.95, np.where(con, 0.05, 0.1))
+    post = np.where(v[:, -1] > 0, 0.05, 0.95)
     weight = np.ones(v.shape[1])
     for r in range(rounds):
         prior = float(np.clip(post.mean(), 0.01, 0.99))
@@ -193,7 +192,7 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
         votes[i, [index[t] for t in hits]] = 1
         votes[i, n] = bool(_PATTERN.search((text or "").lower()))
         votes[i, n + 1 :] = [*[bool(words & f) for f in calm], len(words) >= LONG and not words & _ADDRESS, not votes[i, : n + 1].any()]
-    post, _, _ = label_model(votes, AGAINST)
+    post, _, _ = label_model(votes)
     theta = logistic(votes[:, [*range(n + 1), -1]].astype(float), post)
     return Model(dict(zip(entries, theta[:n].tolist(), strict=True)), float(theta[n]), float(theta[n + 1]), float(theta[-1]))
 

@@ -69,7 +69,7 @@ def test_posteriors_beat_any_vote():
     vote = lambda p1, p0: np.where(y, rng.random(4000) < p1, rng.random(4000) < p0)
     pro = np.stack([vote(0.6, 0.01), vote(0.55, 0.01), vote(0.5, 0.02), vote(0.25, 0.2), vote(0.2, 0.2)], 1)
     con = np.stack([vote(0.1, 0.7), vote(0.15, 0.8)], 1)
-    post, rates, prior = toxicity.label_model(np.c_[pro, con], against=2)
+    post, rates, prior = toxicity.label_model(np.c_[pro, con])
     right, anybody = ((post > 0.5) == y).mean(), (pro.any(1) == y).mean()
     assert right > 0.93 and right > anybody + 0.1 and abs(prior - 0.2) < 0.06
     assert abs(rates[0, 1] - 0.6) < 0.1 and abs(rates[3, 0] - 0.2) < 0.05  # accuracies as drawn
