@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scanlake.scratch import clear_scratch, passing, scratch_path, shared_dir, written
 
-__all__ = ["arrow_batches", "clear_scratch", "id_order", "passing", "pinned", "scratch_path", "shared_dir", "table", "text_bytes", "written"]
+__all__ = ["arrow_batches", "clear_scratch", "id_order", "passing", "pinned", "quoted", "scratch_path", "shared_dir", "table", "text_bytes", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +34,17 @@ def id_order(column: str) -> "F.Column":
     return F.struct(F.col(column).isNull().alias("missing"), F.col(column).alias("id"))
 
 
+def quoted(name: str) -> str:
+    """A column's name as it must be written in expressions, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def pinned(df: DataFrame, columns: dict[str, "F.Column"], keep: list[str]) -> DataFrame:
     """``keep`` of ``df`` and ``columns``, each computed once per row.
 
     A filter above a projection is moved below it with every expression it uses written out again; nested
     expressions then grow without bound. Nothing is moved through this one-row generator.
     """
-    made = F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))).alias("_pinned")
-    return df.select(*[F.col(c) for c in keep], made).select(*[F.col(c) for c in keep], *[F.col(f"_pinned.{k}").alias(k) for k in columns])
+    kept = [F.col(quoted(c)) for c in keep]
+    made = F.explode(F.array(F.struct(*kept, *[v.alias(k) for k, v in columns.items()]))).alias("_pinned")
+    return df.select(made).select("_pinned.*")

@@ -26,17 +26,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import passing, pinned, scratch_path, table, written
+from scanlake.llm.common import passing, pinned, quoted, scratch_path, table, written
 
 MIN_WORDS = 5
 #: Zones in either half of a line.
 ZONES = 4
 #: A word: anything but white space (\x20, \x09-\x0D).
 WORDED = r"[^\x20\x09-\x0D]"
-#: A line that stands more than so often, and in more than one of ``HOT_ROWS`` lines, is a hot one; there are fewer than ``HOT_ROWS`` of them.
+#: A key that more than so many rows share, and more than one in ``HOT_ROWS`` of them, is a hot one; there are fewer than ``HOT_ROWS`` of them.
 HOT_LEAST, HOT_ROWS = 4096, 10_000
-#: Up to so many keys of 8 bytes are sent to all executors; beyond, both sides are shuffled.
-BROADCAST_KEYS = 1_000_000
 #: Up to so many lines with a possible partner (about 100 bytes each) are sent to all executors; beyond, texts are shuffled to them.
 BROADCAST_LINES = 200_000
 
@@ -86,10 +84,24 @@ def _zones(words: Column, n: Column) -> Column:
     return F.array_compact(F.array(*out))
 
 
-def _few(df: DataFrame, most: int, n: str | None = None) -> DataFrame:
-    """``df``, marked to be sent to all executors if its rows (or the sum of a column) number at most ``most``; it must be written already."""
-    size = df.agg(F.sum(n) if n else F.count("*")).first()[0] or 0
-    return F.broadcast(df) if size <= most else df
+def _few(df: DataFrame, most: int, n: str) -> DataFrame:
+    """``df``, marked to be sent to all executors if the sum of its column ``n`` is at most ``most``; it must be written already."""
+    return F.broadcast(df) if (df.agg(F.sum(n)).first()[0] or 0) <= most else df
+
+
+def _hot(total: int) -> int:
+    """The count from which a key is a hot one. Of ``total`` rows fewer than ``HOT_ROWS`` keys reach it, so a table of them can always be sent to all executors."""
+    return max(HOT_LEAST, total // HOT_ROWS)
+
+
+def _join_split(left: DataFrame, right: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Inner join of ``left``, of ``total`` rows, with ``right``, one row per key with ``c``, how often ``left`` has it.
+
+    A key that many rows share would meet its one row in one task; such keys are sent to all executors instead.
+    """
+    hot = F.broadcast(right.filter(F.col("c") > _hot(total)).drop("c"))
+    rest = left.join(hot.select(*on), on, "left_anti").join(right.filter(F.col("c") <= _hot(total)).drop("c"), on)
+    return left.join(hot, on).unionByName(rest)
 
 
 def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -122,12 +134,12 @@ def one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), replaced).when(F.size(long) == F.size(short) + 1, inserted).otherwise(False)
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def near_lines(docs: DataFrame, firsts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(h1, h2) of the distinct lines that an earlier distinct line is within one edit of."""
-    halves = lines.select("h1", F.explode("halves").alias("half"))
-    shared = written(halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("half"), "lines-shared")
-    alive = written(halves.join(_few(shared, BROADCAST_KEYS), "half", "left_semi").select("h1").distinct(), "lines-met")
-    where = firsts.join(_few(alive, BROADCAST_KEYS), "h1", "left_semi").select(F.col("rank.doc_id").alias("d"), F.col("rank.missing").alias("m"), F.col("rank.th").alias("t"), F.struct(F.col("rank.ln").alias("ln"), "h1", "h2").alias("at"))
+    halves = written(firsts.select("h1", F.explode("halves").alias("half")), "lines-halves")
+    shared = written(halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.count("*").alias("c")).filter("a <> b").select("half", "c"), "lines-shared")
+    alive = written(_join_split(halves, shared, ["half"], halves.count()).select("h1").distinct(), "lines-met")
+    where = firsts.join(alive, "h1", "left_semi").select(F.col("rank.doc_id").alias("d"), F.col("rank.missing").alias("m"), F.col("rank.th").alias("t"), F.struct(F.col("rank.ln").alias("ln"), "h1", "h2").alias("at"))
     wanted = written(where.groupBy("d", "m", "t").agg(F.collect_list("at").alias("at"), F.count("*").alias("c")), "lines-wanted")
     keyed = docs.select(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("m"), F.xxhash64("text").alias("t"), "text")
     chosen = keyed.join(_few(wanted, BROADCAST_LINES, "c"), ["d", "m", "t"]).select("d", "m", "t", _lines(F.col("text")).alias("ls"), "at")
@@ -136,16 +148,18 @@ def near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame, min_words:
     texts = chosen.select("x.h1", "x.h2", rank, F.split(_normal(F.col("x.line")), " ").alias("words")).dropDuplicates(["h1", "h2"])
     texts = written(texts.withColumn("n", F.size("words")), "lines-texts")
     zones = texts.select("h1", "h2", F.explode(_zones(F.col("words"), F.col("n"))).alias("z")).select("h1", "h2", "z.*")
-    common = zones.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key")
-    zones = zones.join(common, "key", "left_semi").join(texts, ["h1", "h2"])
+    zones = written(zones, "lines-zones")
+    common = zones.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.count("*").alias("c")).filter("a <> b").select("key", "c")
+    zones = _join_split(zones, written(common, "lines-common"), ["key"], zones.count()).join(texts, ["h1", "h2"])
     lines = zones.select("h1", "h2", "rank", "n", "key", F.slice("words", F.col("left") + 1, F.col("n") - F.col("left") - F.col("right")).alias("seg"))
     keys = written(variants(lines), "lines-variants")
     me = F.struct("rank", "h1", "h2")
-    met = keys.groupBy("key").agg(F.min(F.when(F.col("place").isNull(), me)).alias("whole"), F.min(F.when(F.col("place").isNotNull(), me)).alias("cut")).filter("whole IS NOT NULL AND cut IS NOT NULL")
-    inserted = keys.join(met, "key").withColumn("hub", F.when(F.col("place").isNull(), F.col("cut")).otherwise(F.col("whole")))
+    total = keys.count()
+    met = keys.groupBy("key").agg(F.min(F.when(F.col("place").isNull(), me)).alias("whole"), F.min(F.when(F.col("place").isNotNull(), me)).alias("cut"), F.count("*").alias("c")).filter("whole IS NOT NULL AND cut IS NOT NULL")
+    inserted = _join_split(keys, written(met, "lines-inserted"), ["key"], total).withColumn("hub", F.when(F.col("place").isNull(), F.col("cut")).otherwise(F.col("whole")))
     same = keys.filter(F.col("place").isNotNull() & (F.col("n") >= min_words))
-    tops = same.groupBy("key", "place").agg(F.min(me).alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    replaced = same.join(tops, ["key", "place"])
+    tops = same.groupBy("key", "place").agg(F.min(me).alias("hub"), F.count("*").alias("c")).filter("c > 1")
+    replaced = _join_split(same, written(tops, "lines-replaced"), ["key", "place"], total)
     pick = ["h1", "h2", F.col("hub.h1").alias("g1"), F.col("hub.h2").alias("g2")]
     pairs = inserted.filter("hub.rank < rank").select(*pick).union(replaced.filter("hub.rank < rank").select(*pick)).distinct()
     texts = texts.select("h1", "h2", "words")
@@ -161,36 +175,33 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spark = docs.sparkSession
     path = scratch_path(spark, "lines-status")
     with passing(spark):
-        firsts = written(lines.select("h1", "h2", _rank().alias("rank")).groupBy("h1", "h2").agg(F.min("rank").alias("rank"), F.count("*").alias("c")), "lines-first")
-        near = near_lines(core, lines, firsts, min_words).withColumn("near", F.lit(True))
+        firsts = written(lines.select("h1", "h2", _rank().alias("rank"), "halves").groupBy("h1", "h2").agg(F.min("rank").alias("rank"), F.count("*").alias("c"), F.any_value("halves").alias("halves")), "lines-first")
+        near = near_lines(core, firsts, min_words).withColumn("near", F.lit(True))
         status = firsts.select("h1", "h2", "rank", "c").join(near, ["h1", "h2"], "left").filter("near OR c > 1")
         status = status.select("h1", "h2", F.col("rank").alias("first"), F.coalesce("near", F.lit(False)).alias("near"), "c")
         status.write.parquet(path)
     status = spark.read.schema(status.schema).parquet(path)
-    # a line that a large part of all lines repeats would meet its one row of status in one task: such rows, at most
-    # HOT_ROWS by their share, are sent to all executors instead
-    share = max(HOT_LEAST, lines.count() // HOT_ROWS)
-    hot = F.broadcast(status.filter(F.col("c") > share).drop("c"))
-    places = lines.select("h1", "h2", "doc_id", "th", "ln")
-    rest = places.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(status.filter(F.col("c") <= share).drop("c"), ["h1", "h2"])
-    gone = places.join(hot, ["h1", "h2"]).unionByName(rest)
+    gone = _join_split(lines.select("h1", "h2", "doc_id", "th", "ln"), status, ["h1", "h2"], lines.count())
     exact = _rank() != F.col("first")
     gone = gone.filter(F.col("near") | exact)
-    per_doc = gone.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set("ln").alias("_gone"), F.size(F.collect_set(F.when(exact, F.col("ln")))).alias("_exact"))
-    clash = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
-    both = docs.select(*clash, F.xxhash64("text").alias("_h")).join(per_doc, (F.col("doc_id").eqNullSafe(F.col("_d"))) & (F.col("_h") == F.col("_t")), "left")
-    both = both.withColumn("_lines", _lines(F.col("text")))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    n_lines = F.size(F.filter("_lines", lambda x: x.rlike(WORDED)))
-    n_exact = F.coalesce("_exact", F.lit(0))
+    per_doc = gone.groupBy("doc_id", "th").agg(F.collect_set("ln").alias("gone"), F.size(F.collect_set(F.when(exact, F.col("ln")))).alias("n")).select(F.struct("doc_id", "th", "gone", "n").alias("x"))
+    # whatever other columns there are, and however they are called, stays within one struct
+    mine = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), _lines(F.col("text")).alias("ls"), F.xxhash64("text").alias("th"), F.col("doc_id").alias("id"))
+    both = mine.join(per_doc, F.col("id").eqNullSafe(F.col("x.doc_id")) & (F.col("th") == F.col("x.th")), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), "x.gone")
+    text = F.when(F.col("x.gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("ls", i)), "\n"))
+    n_lines = F.size(F.filter("ls", lambda x: x.rlike(WORDED)))
+    n_exact = F.coalesce("x.n", F.lit(0))
     made = {
         "text": text,
         "n_lines": F.greatest(n_lines, F.lit(0)).cast("long"),
         "n_exact": n_exact.cast("long"),
-        "n_near": (F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)) - n_exact).cast("long"),
+        "n_near": (F.greatest(F.coalesce(F.size("x.gone"), F.lit(0)), F.lit(0)) - n_exact).cast("long"),
     }
-    return pinned(both, made, [c for c in clash if c != "text"]).select(*clash, "n_lines", "n_exact", "n_near")
+    rest = [c for c in docs.columns if c not in made]
+    out = pinned(both.select(F.col("row").alias("row"), "ls", "x"), made, ["row"])
+    own = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c in rest or c == "text"]
+    return out.select(*own, "n_lines", "n_exact", "n_near")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

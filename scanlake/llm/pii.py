@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from scanlake.llm.common import table, written
 
@@ -270,7 +271,7 @@ _SPANS = "array<struct<start: long, kind: int, `end`: long, votes: int, shape: i
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``' columns and ``_spans``: candidates with votes, base ones among them. One pass over the texts."""
+    """``docs``' columns and, last, ``_spans``: candidates with votes, base ones among them. One pass over the texts."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("votes", pa.int32()), ("shape", pa.int32())]))
     at = docs.columns.index(text_col)
 
@@ -284,8 +285,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     found.append([{"start": a, "kind": k, "end": e, "votes": v, "shape": h} for a, k, e, v, h in spans])
                 yield pa.record_batch([*part.columns, pa.array(found, kind)], names=[*part.schema.names, "_spans"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, _spans {_SPANS}")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(f"_spans {_SPANS}").fields]))
 
 
 def learnt(scanned: DataFrame, sample: int = SAMPLE) -> np.ndarray:
@@ -331,8 +331,11 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in the text replaced; null texts stay null."""
-    found = _final(written(scan(docs, text_col=text_col), "pii-redact"))
-    at, names = docs.columns.index(text_col), docs.columns
+    # columns may have any name, so the operator works on numbered ones
+    names, types = docs.columns, docs.schema
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = names.index(text_col)
+    found = _final(written(scan(numbered, text_col=f"c{at}"), "pii-redact"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -343,7 +346,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 columns[at] = pa.array(texts, b.column(at).type)
                 yield pa.record_batch(columns, names=names)
 
-    return found.mapInArrow(run, docs.schema)
+    return found.mapInArrow(run, types)
 
 
 def base_digest(spans: list[tuple[int, int, int]]) -> str:

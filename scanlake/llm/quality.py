@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import pinned, table
+from scanlake.llm.common import pinned, quoted, table
 
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -47,8 +47,8 @@ def _from(a: Column, start: int) -> Column:
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the counts that the rules use; names that the counts take replace columns of ``docs``."""
-    own = [F.col(c) for c in docs.columns]
-    step = docs.select(F.struct(*own).alias("_row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    own = [F.col(quoted(c)) for c in docs.columns]
+    step = docs.select(F.struct(*own).alias("_row"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("_text"))
     step = step.withColumn("_trimmed", F.btrim("_text", F.lit(SPACE)))
     step = step.select("_row", "_text", F.when(F.col("_trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("_trimmed", SPACES)).alias("_words"))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
@@ -75,7 +75,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?"))).isin(stops))).cast("long"),
     }
     step = pinned(step, counts, ["_row"])
-    return step.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in counts], *counts)
+    return step.select(*[F.col("_row." + quoted(c)).alias(c) for c in docs.columns if c not in counts], *counts)
 
 
 def ratios() -> dict[str, Column]:
@@ -108,7 +108,9 @@ def verdict(thresholds: list[tuple[str, float | None, float | None]] | None = No
 
 def judge(docs: DataFrame, thresholds: list[tuple[str, float | None, float | None]] | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with all counts, ``base_failed`` and ``kept``."""
-    return features(docs, text_col).select("*", base_failed().alias("base_failed"), verdict(thresholds).alias("kept"))
+    rows = features(docs, text_col)
+    own = [F.col(quoted(c)) for c in rows.columns if c not in ("base_failed", "kept")]
+    return rows.select(*own, base_failed().alias("base_failed"), verdict(thresholds).alias("kept"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import re
 
 import pytest
-from scanlake.llm import linededup, quality
+from scanlake.llm import linededup, pii, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -108,3 +108,26 @@ def test_lines_special_cases(spark):
     got = sorted(map(tuple, linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "n_exact", "n_near").collect()), key=str)
     assert got == sorted([(1, None, 0, 0), (2, "", 0, 0), (3, "same", 0, 0), (3, "same", 0, 0), (4, "", 1, 0), (5, "x y z", 0, 0), (6, "x y q", 0, 0), (7, long, 0, 0), (8, "", 0, 1), (9, "", 0, 1)], key=str)
     assert linededup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_hot_keys_take_another_way_to_the_same_result(spark, monkeypatch):
+    """Keys that many rows share are joined by broadcast: all of them, or none."""
+    rows = [(i, f"one two three four five six {i % 7}\nother line of words {i} and more {i % 3}\nthe same line in all of them") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    a = sorted(map(tuple, linededup.dedup_lines(frame).collect()))
+    monkeypatch.setattr(linededup, "HOT_LEAST", 1)
+    assert sorted(map(tuple, linededup.dedup_lines(frame).collect())) == a
+    assert {r[0]: r[1] for r in a} == plain_dedup(rows)
+
+
+NAMES = ["a.b", "x`y", "_h", "_gone", "_pinned", "_spans", "row", "x", "ls", "_row", "_text", "c0", "th", "h1", "kept.x"]
+
+
+@pytest.mark.parametrize("operator", [quality.judge, linededup.dedup_lines, pii.redact])
+def test_columns_of_any_name_pass_through(spark, operator):
+    text = "the quick mail a@b.org of the day is here\nand the other line of the text that is long enough for all rules"
+    frame = spark.createDataFrame([(1, text, *range(len(NAMES))), (2, None, *range(len(NAMES)))], ", ".join(["doc_id long, text string", *["`" + n.replace("`", "``") + "` int" for n in NAMES]]))
+    out = operator(frame)
+    assert out.columns[: len(frame.columns)] == frame.columns
+    for r in out.collect():
+        assert list(r)[2 : 2 + len(NAMES)] == list(range(len(NAMES)))
