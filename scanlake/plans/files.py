@@ -108,52 +108,27 @@ def file_actions(spark: SparkSession, sf: str) -> DataFrame:
     return plans.disarm_or_quarantine(built(spark, sf), as_of=AS_OF).select("file_id", "action")
 
 
-@query("""SELECT CASE c_custkey % 10 WHEN 8 THEN '1.2.840.10008.1.2.1.99' ELSE '1.2.840.10008.1.2.5' END AS syntax, 'lossless_bitexact' AS bucket, count(*) AS n FROM customer WHERE c_custkey % 10 IN (8, 9) GROUP BY ALL
-  UNION ALL SELECT '1.2.840.10008.1.2.4.201', 'skipped', count(*) FROM customer WHERE c_custkey % 10 = 5 HAVING count(*) > 0""")
-def file_fidelity(spark: SparkSession, sf: str) -> DataFrame:
-    """Compressed files through the sandboxed decoder: fidelity by transfer syntax (R4 to R6, R13, A16). Of variants 5, 8 and 9 alone, as its SQL."""
-    return _fidelity(built(spark, sf).filter(F.col("file_id").cast("long") % 10 >= 5).filter(F.col("file_id").cast("long") % 10 != 6).filter(F.col("file_id").cast("long") % 10 != 7))
-
-
 def _fidelity(files: DataFrame) -> DataFrame:
     return disarm.disarm(files).groupBy("syntax", disarm.fidelity_bucket().alias("bucket")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT CASE c_custkey % 10 WHEN 2 THEN NULL WHEN 5 THEN '1.2.840.10008.1.2.4.201' WHEN 8 THEN '1.2.840.10008.1.2.1.99' WHEN 9 THEN '1.2.840.10008.1.2.5' ELSE '1.2.840.10008.1.2.1' END AS syntax,
   CASE WHEN c_custkey % 10 IN (2, 5, 6, 7) THEN 'skipped' ELSE 'lossless_bitexact' END AS bucket, count(*) AS n FROM customer GROUP BY ALL""")
-def file_fidelity_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``file_fidelity`` of every file: without an image (2, 7), a decoder (5) or within the caps (6) it is skipped."""
+def file_fidelity(spark: SparkSession, sf: str) -> DataFrame:
+    """Every file through parsing, gates and the sandboxed decoder: fidelity by transfer syntax (R4 to R6, R13, A16). Without an image (2, 7), a decoder (5) or within the caps (6) it is skipped."""
     return _fidelity(built(spark, sf))
 
 
-@query(f"SELECT {_KEY}, CASE WHEN c_custkey % 10 = 8 THEN 45 ELSE 45 END::INT AS score, 'MODERATE' AS band FROM customer WHERE c_custkey % 10 IN (0, 7, 8, 9)")
-def file_reid_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Re-identification score (P1 to P9): name, id and institution are critical, the station is another tag; capped at 45. Of variants 0, 7, 8 and 9 alone, as its SQL."""
-    return _reid_scores(built(spark, sf).filter(F.col("file_id").cast("long") % 10 >= 7).union(built(spark, sf).filter(F.col("file_id").cast("long") % 10 == 0)))
-
-
 def _reid_scores(files: DataFrame) -> DataFrame:
     return plans.scan(files, deid=True, as_of=AS_OF).select("file_id", "reid.score", "reid.band")
 
 
 @query(f"SELECT {_KEY}, CASE WHEN c_custkey % 10 = 2 THEN 0 ELSE 45 END::INT AS score, CASE WHEN c_custkey % 10 = 2 THEN 'MINIMAL' ELSE 'MODERATE' END AS band FROM customer")
-def file_reid_scores_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``file_reid_scores`` of every file; one with another magic (2) has no attributes that could tell."""
+def file_reid_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Re-identification score of every file (P1 to P9): name, id and institution are critical, the station is another tag; capped at 45. One with another magic (2) has no attributes that could tell."""
     return _reid_scores(built(spark, sf))
 
 
-_PX = f"SELECT c_custkey, (7 * c_custkey + 13 * r + 29 * c) % 997 AS x, r, c FROM customer, range({SIDE}) a(r), range({SIDE}) b(c) WHERE c_custkey % 10 IN (0, 9)"
-
-
-@query(f"""WITH p AS ({_PX}), s AS (SELECT c_custkey, avg(x) AS mean, stddev_pop(x) AS std_dev, min(x)::DOUBLE AS low, max(x)::DOUBLE AS high, count(DISTINCT x)::DOUBLE AS n_unique FROM p GROUP BY 1),
-  q AS (SELECT c_custkey, r // 2 AS y, c // 2 AS z, sum(x * CASE WHEN r % 2 = 0 THEN 1 ELSE -1 END) / 2 AS lh, sum(x * CASE WHEN r % 2 = c % 2 THEN 1 ELSE -1 END) / 2 AS hh FROM p GROUP BY ALL),
-  w AS (SELECT c_custkey, avg(abs(lh)) AS lh_mean, sum(hh * hh) AS hh_energy FROM q GROUP BY 1)
-  SELECT {_KEY}, round(mean, 4) AS mean, round(std_dev, 4) AS std_dev, low, high, n_unique, round(lh_mean, 4) AS lh_mean, round(hh_energy, 1) AS hh_energy FROM s JOIN w USING (c_custkey)""")
-def file_pixel_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Pixel statistics, distinct values and first wavelet level of native and run-length images (X0, X1, X6, X16, X17). Of variants 0 and 9 alone, as its SQL."""
-    return _pixel_features(built(spark, sf).filter((F.col("file_id").cast("long") % 10).isin(0, 9)))
-
-
 def _pixel_features(files: DataFrame) -> DataFrame:
     s, f = (lambda n: F.element_at("simple", n)), (lambda n: F.element_at("features", n))
     rows = pixels.measured(files)
@@ -165,38 +140,24 @@ def _pixel_features(files: DataFrame) -> DataFrame:
   q AS (SELECT c_custkey, r // 2 AS y, c // 2 AS z, sum(x * CASE WHEN r % 2 = 0 THEN 1 ELSE -1 END) / 2 AS lh, sum(x * CASE WHEN r % 2 = c % 2 THEN 1 ELSE -1 END) / 2 AS hh FROM p GROUP BY ALL),
   w AS (SELECT c_custkey, avg(abs(lh)) AS lh_mean, sum(hh * hh) AS hh_energy FROM q GROUP BY 1)
   SELECT {_KEY}, round(mean, 4) AS mean, round(std_dev, 4) AS std_dev, low, high, n_unique, round(lh_mean, 4) AS lh_mean, round(hh_energy, 1) AS hh_energy FROM customer LEFT JOIN s USING (c_custkey) LEFT JOIN w USING (c_custkey)""")
-def file_pixel_features_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``file_pixel_features`` of every file; null where no pixels can be read (2, 5, 6, 7)."""
+def file_pixel_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixel statistics, distinct values and first wavelet level of every file (X0, X1, X6, X16, X17); null where no pixels can be read (2, 5, 6, 7)."""
     return _pixel_features(built(spark, sf))
 
 
-@query("SELECT 'CT' AS modality, count(*) AS n FROM customer WHERE c_custkey % 10 IN (0, 9) GROUP BY 1 HAVING count(*) >= 3")
-def file_calibration(spark: SparkSession, sf: str) -> DataFrame:
-    """Baselines from measured files, and how many files each feature has (A9, L1, J14). Of variants 0 and 9 alone, as its SQL."""
-    return _calibration(built(spark, sf).filter((F.col("file_id").cast("long") % 10).isin(0, 9)))
-
-
 def _calibration(files: DataFrame) -> DataFrame:
     rows = dicom.parsed(files, measure=pixels.Measure(marks=False)).select("file_id", "attrs", "features")
     return pixels.calibrate(rows).filter("feature = 'noise_std'").select("modality", "n")
 
 
 @query("SELECT 'CT' AS modality, count(*) AS n FROM customer WHERE c_custkey % 10 NOT IN (2, 5, 6, 7) GROUP BY 1 HAVING count(*) >= 3")
-def file_calibration_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``file_calibration`` from every file; those without readable pixels (2, 5, 6, 7) have no features to count."""
+def file_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    """Baselines from every file, and how many files each feature has (A9, L1, J14); those without readable pixels (2, 5, 6, 7) have no features to count."""
     return _calibration(built(spark, sf))
 
 
-@query(f"SELECT {_KEY}, count(*) AS n_elements, 13::INT AS max_depth FROM customer, range(1) WHERE c_custkey % 10 = 4 GROUP BY 1")
-def file_nesting(spark: SparkSession, sf: str) -> DataFrame:
-    """Flattened elements of nested sequences: the leaf of each file and the depth at which it lies (S4, D5, C4). Of variant 4 alone, as its SQL."""
-    files = built(spark, sf).filter(F.col("file_id").cast("long") % 10 == 4)
-    leaf = dicom.elements(files).filter("value_text = 'leaf'")
-    return leaf.groupBy("file_id").agg(F.count("*").alias("n_elements"), F.max("depth").alias("max_depth"))
-
-
 @query(f"SELECT {_KEY}, CASE c_custkey % 10 WHEN 2 THEN 18 WHEN 3 THEN 29 WHEN 4 THEN 41 WHEN 7 THEN 26 ELSE 27 END AS n_elements, CASE c_custkey % 10 WHEN 4 THEN 1 ELSE 0 END AS n_leaves, CASE c_custkey % 10 WHEN 4 THEN 13 ELSE 0 END::INT AS max_depth FROM customer")
-def file_nesting_all(spark: SparkSession, sf: str) -> DataFrame:
+def file_nesting(spark: SparkSession, sf: str) -> DataFrame:
     """Flattened elements of every file, meta ones included: how many, how many leaves of nested sequences, and the depth."""
     return dicom.elements(built(spark, sf)).groupBy("file_id").agg(F.count("*").alias("n_elements"), F.count_if(F.col("value_text") == "leaf").alias("n_leaves"), F.max("depth").alias("max_depth"))
 

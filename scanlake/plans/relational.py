@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanlake.dims import CODEC_CVES, PHI_PATTERNS
-from scanlake.findings import category_prevalence, check_severity_pivot, severity_rank, summarize, verdict_distribution
+from scanlake.dims import AMPLIFICATION_BLOCK, AMPLIFICATION_FLOOR, AMPLIFICATION_WARN, CODEC_CVES, CRITICAL_TAGS, FRAME_CAP, PHI_PATTERNS, PROFILE_TAGS
+from scanlake.findings import category_prevalence, check_severity_pivot, severity_rank, summarize, verdict_distribution, worst
 from scanlake.functions.binary import shannon_entropy
 from scanlake.functions.stats import mcnemar_chi2, rule_of_three
 from scanlake.operators import corpus as C
@@ -142,16 +142,27 @@ def phi_scan(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents", "doc_id", "text").select("doc_id", C.phi_matches(F.col("text")).alias("matched"))
 
 
-@query("""SELECT r_name, count(*) FILTER (n_name IN ('BRAZIL', 'CHINA', 'FRANCE')) AS n_critical, count(*) FILTER (n_name NOT IN ('BRAZIL', 'CHINA', 'FRANCE')) AS n_other,
-  CASE WHEN count(*) FILTER (n_name IN ('BRAZIL', 'CHINA', 'FRANCE')) > 0 THEN 'fail' WHEN count(*) > 5 THEN 'fail' ELSE 'warn' END AS severity
-  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+def header(**values: Column | str) -> Column:
+    """The attributes of a parsed file (``attrs``) from columns; nulls are missing ones."""
+    return F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))]), lambda k, v: v.isNotNull())
+
+
+#: Attributes, when a customer's header holds them (SQL), and what they hold.
+_HELD = [("PatientName", "c_custkey % 2 = 0", "c_name"), ("PatientID", "c_custkey % 3 = 0", "c_custkey"), ("InstitutionName", "c_acctbal > 5000", "c_mktsegment"), ("StationName", "c_nationkey < 12", "c_mktsegment"), ("StudyID", "c_custkey % 5 < 2", "c_nationkey"), ("AccessionNumber", "c_acctbal < 0", "c_name")]
+_HELD = [x for x in _HELD if x[0] in {k for _, _, k, _ in PROFILE_TAGS}]
+_COUNT = {c: " + ".join(["0", *[f"({when})::INT" for k, when, _ in _HELD if (k in CRITICAL_TAGS) == c]]) for c in (True, False)}
+
+
+@query(f"""WITH c AS (SELECT c_custkey, {_COUNT[True]} AS n_critical, {_COUNT[False]} AS n_other FROM customer)
+  SELECT c_custkey, n_critical::INT AS n_critical, n_other::INT AS n_other, CASE WHEN n_critical > 0 OR n_other > 5 THEN 'fail' WHEN n_other > 0 THEN 'warn' ELSE 'pass' END AS severity FROM c""")
 def profile_tags_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Populated tags against a small dimension, critical and other (J3, J4, P1). Nation and region have fixed sizes."""
-    nation, region = read(spark, sf, "nation", "n_nationkey", "n_name", "n_regionkey"), read(spark, sf, "region", "r_regionkey", "r_name")
-    dim = nation.join(region, nation.n_regionkey == region.r_regionkey).withColumn("critical", F.col("n_name").isin("BRAZIL", "CHINA", "FRANCE"))
-    rows = read(spark, sf, "customer", "c_nationkey").join(dim, F.col("c_nationkey") == F.col("n_nationkey"))
-    counted = rows.groupBy("r_name").agg(F.count_if("critical").alias("n_critical"), F.count_if(~F.col("critical")).alias("n_other"))
-    return counted.withColumn("severity", F.when((F.col("n_critical") > 0) | (F.col("n_other") > 5), "fail").otherwise("warn"))
+    """Profile tags that hold data, critical and other, and the rule on them."""
+    from scanlake.operators import privacy
+
+    rows = spark.read.parquet(f"{sf}/customer.parquet")
+    rows = rows.select("c_custkey", header(**{k: F.when(F.expr(when), F.col(what)) for k, when, what in _HELD}).alias("attrs"))
+    critical, other = privacy.profile_counts()
+    return rows.select("c_custkey", critical.alias("n_critical"), other.alias("n_other"), worst(privacy.profile_completeness()).alias("severity"))
 
 
 _DECODERS = list(CODEC_CVES)
@@ -168,91 +179,16 @@ def ts_codec_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return named.select("p_partkey", "decoder", F.coalesce(F.array_join(F.slice("ids", 1, 3), ", "), F.lit("")).alias("cves"))
 
 
-@query("""WITH c AS (SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey), a AS (SELECT s_suppkey FROM c WHERE n_name < 'F'),
-  k AS (SELECT l_suppkey, count(*) AS kept FROM lineitem WHERE l_suppkey IN (FROM a) GROUP BY 1)
-  SELECT s_suppkey, coalesce(kept, 0)::BIGINT AS kept, kept IS NULL AS orphan FROM c LEFT JOIN k ON s_suppkey = l_suppkey""")
-def private_allowlist(spark: SparkSession, sf: str) -> DataFrame:
-    """Default deny by creator, then creators without kept data (J8 to J10, R3): line items as data, suppliers as creators."""
-    nation = read(spark, sf, "nation", "n_nationkey", "n_name")
-    creators = read(spark, sf, "supplier", "s_suppkey", "s_nationkey").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("k"), F.col("n_name").alias("creator"))
-    data = read(spark, sf, "lineitem", F.col("l_suppkey").alias("k"))
-    kept, orphans = C.allowed_and_orphans(data, creators, nation.filter("n_name < 'F'").select(F.col("n_name").alias("creator")), ["k"])
-    counted = kept.groupBy("k").agg(F.count("*").alias("kept"))
-    return counted.select(F.col("k").alias("s_suppkey"), "kept", F.lit(False).alias("orphan")).union(orphans.select("k", F.lit(0).cast("long"), F.lit(True)))
-
-
-@query("SELECT p_partkey, CASE WHEN contains(p_name, 'a') AND contains(p_type, 'STEEL') THEN 'steel' ELSE 'x' END AS tag, CASE "
-+ " ".join(f"WHEN contains(lower(p_type), '{k}') THEN '{v}'" for k, v in (("steel", "block"), ("brass", "warn"), ("promo", "warn"))) + " ELSE 'block' END AS verdict FROM part")
-def first_rule_wins(spark: SparkSession, sf: str) -> DataFrame:
-    """Ordered rules by parts of a name with a default."""
-    rules = [("steel", "steel", "block"), ("brass", "brass", "warn"), ("promo", "promo", "warn")]
-    hit = C.first_rule(F.lower("p_type"), rules, ("unknown", "block"))
-    tag = F.when(F.contains("p_name", F.lit("a")) & F.contains("p_type", F.lit("STEEL")), "steel").otherwise("x")
-    return read(spark, sf, "part", "p_partkey", "p_name", "p_type").select("p_partkey", tag.alias("tag"), hit["verdict"].alias("verdict"))
-
-
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice > 80000 THEN 'critical' WHEN l_extendedprice > 20000 AND l_extendedprice / l_quantity > 1900 THEN 'critical' WHEN l_extendedprice > 20000 AND l_extendedprice / l_quantity > 1500 THEN 'warn' ELSE 'pass' END AS severity FROM lineitem")
-def size_bomb(spark: SparkSession, sf: str) -> DataFrame:
-    """Declared against stored size in tiers."""
-    price, ratio = F.col("l_extendedprice"), F.try_divide("l_extendedprice", "l_quantity")
-    tier = F.when(price > 80000, "critical").when((price > 20000) & (ratio > 1900), "critical").when((price > 20000) & (ratio > 1500), "warn").otherwise("pass")
-    return read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").select("l_orderkey", "l_linenumber", tier.alias("severity"))
-
-
-@query("""WITH e AS (SELECT p_partkey, CASE WHEN p_size = 1 THEN (p_partkey * 3 + 7) // 8 WHEN p_size % 3 = 0 THEN p_partkey * ((p_size + 7) // 8) * 2
-  WHEN p_size % 3 = 1 THEN p_partkey * ((p_size + 7) // 8) * 3 // 2 ELSE p_partkey * ((p_size + 7) // 8) * 3 END AS expected, floor(p_retailprice)::BIGINT AS stored FROM part)
-  SELECT p_partkey, expected, CASE WHEN stored + 2 < expected THEN 'fail' WHEN stored <= expected + 2 THEN 'pass' WHEN stored - expected <= greatest(expected, 4096) THEN 'padding' ELSE 'warn' END AS severity FROM e""")
-def expected_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    """Expected pixel bytes and what is stored (M4, M5)."""
-    from scanlake.operators.metadata import expected_pixel_bytes
-
-    photo = F.when(F.col("p_size") % 3 == 0, "YBR_FULL_422").when(F.col("p_size") % 3 == 1, "YBR_PARTIAL_420").otherwise("RGB")
-    rows = read(spark, sf, "part", "p_partkey", "p_size", "p_retailprice").select(
-        "p_partkey", expected_pixel_bytes(F.col("p_partkey"), F.lit(1), F.col("p_size"), F.lit(3), F.lit(1), photo).cast("long").alias("expected"), F.floor("p_retailprice").alias("stored")
-    )
-    e, s = F.col("expected"), F.col("stored")
-    return rows.select("p_partkey", "expected", F.when(s + 2 < e, "fail").when(s <= e + 2, "pass").when(s - e <= F.greatest(e, F.lit(4096)), "padding").otherwise("warn").alias("severity"))
-
-
-@query("""WITH d AS (SELECT o_orderkey, o_orderdate::DATE AS study, (o_orderdate + INTERVAL (o_custkey % 5 - 2) DAY)::DATE AS acquired FROM orders)
-  SELECT o_orderkey, CASE WHEN study > DATE '1998-01-01' OR acquired > DATE '1998-01-01' THEN 'fail' WHEN year(study) < 1993 OR study > acquired THEN 'warn' ELSE 'pass' END AS severity,
-  strftime(least(study, acquired), '%Y-%m-%d') AS earliest FROM d""")
-def date_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """Parsed dates: future, placeholder, order."""
-    rows = read(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate")
-    day = F.to_date("o_orderdate")
-    rows = rows.select("o_orderkey", F.date_format(day, "yyyyMMdd").alias("s"), F.date_format(F.date_add(day, (F.col("o_custkey") % 5 - 2).cast("int")), "yyyyMMdd").alias("a"))
-    study, acquired = (F.to_date(c, "yyyyMMdd") for c in ("s", "a"))
-    limit = F.lit("1998-01-01").cast("date")
-    tier = F.when((study > limit) | (acquired > limit), "fail").when((F.year(study) < 1993) | (study > acquired), "warn").otherwise("pass")
-    return rows.select("o_orderkey", tier.alias("severity"), F.date_format(F.least(study, acquired), "yyyy-MM-dd").alias("earliest"))
-
-
-@query("""WITH u AS (SELECT o_orderkey, '1.2.' || o_custkey AS a, '1.2.' || (o_orderkey // 3) AS b, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN '1.x' WHEN o_orderkey % 17 = 0 THEN repeat('1.', 40) ELSE '1.3.' || o_orderkey END AS c FROM orders)
-  SELECT o_orderkey, (c IS NULL)::INT AS missing, (coalesce(length(c), 0) > 64)::INT AS long, coalesce(NOT regexp_full_match(c, '[0-9.]*'), FALSE)::INT AS invalid, (a = b OR coalesce(a = c, FALSE) OR coalesce(b = c, FALSE))::INT AS duplicate FROM u""")
-def uid_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """Presence, length, characters and duplicates of ids (M9)."""
-    k = F.col("o_orderkey")
-    c = F.when(k % 11 == 0, None).when(k % 13 == 0, "1.x").when(k % 17 == 0, F.repeat(F.lit("1."), 40)).otherwise(F.concat(F.lit("1.3."), k.cast("string")))
-    rows = read(spark, sf, "orders", "o_orderkey", "o_custkey").select("o_orderkey", F.array(F.concat(F.lit("1.2."), F.col("o_custkey").cast("string")), F.concat(F.lit("1.2."), F.expr("o_orderkey div 3").cast("string")), c).alias("u"))
-    present = F.array_compact("u")
-    return rows.select(
-        "o_orderkey",
-        F.exists("u", lambda x: x.isNull()).cast("int").alias("missing"),
-        F.exists(present, lambda x: F.length(x) > 64).cast("int").alias("long"),
-        F.exists(present, lambda x: ~x.rlike("^[0-9.]*$")).cast("int").alias("invalid"),
-        (F.size(F.array_distinct(present)) < F.size(present)).cast("int").alias("duplicate"),
-    )
-
-
-@query("""SELECT c_custkey, (c_custkey % 2 = 0)::INT + (trim(c_mktsegment) <> 'BUILDING')::INT + (c_acctbal > 0)::INT AS n_present,
-  CASE WHEN (c_custkey % 2 = 0)::INT + (trim(c_mktsegment) <> 'BUILDING')::INT + (c_acctbal > 0)::INT >= 2 THEN 'pass'
-  WHEN (c_custkey % 2 = 0)::INT + (trim(c_mktsegment) <> 'BUILDING')::INT + (c_acctbal > 0)::INT = 1 THEN 'info' ELSE 'warn' END AS severity FROM customer""")
+@query("""WITH c AS (SELECT c_custkey, (c_custkey % 2 = 0)::INT + (trim(c_mktsegment) <> 'BUILDING')::INT + (c_acctbal > 0)::INT AS n FROM customer)
+  SELECT c_custkey, CASE WHEN n >= 2 THEN 'pass' WHEN n = 1 THEN 'info' ELSE 'warn' END AS severity FROM c""")
 def provenance_count(spark: SparkSession, sf: str) -> DataFrame:
-    """Non-blank fields to a severity (M8)."""
-    fields = F.array(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")), F.when(F.trim("c_mktsegment") == "BUILDING", "  ").otherwise(F.col("c_mktsegment")), F.when(F.col("c_acctbal") > 0, "x"))
-    n = F.size(F.filter(fields, lambda x: F.coalesce(F.trim(x), F.lit("")) != ""))
-    return read(spark, sf, "customer", "c_custkey", "c_name", "c_mktsegment", "c_acctbal").select("c_custkey", n.alias("n_present"), F.when(n >= 2, "pass").when(n == 1, "info").otherwise("warn").alias("severity"))
+    """The rule on non-blank fields of origin (M8)."""
+    from scanlake.operators import metadata
+
+    fields = header(
+        InstitutionName=F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")), Manufacturer=F.when(F.trim("c_mktsegment") == "BUILDING", "  ").otherwise(F.col("c_mktsegment")), StationName=F.when(F.col("c_acctbal") > 0, "x")
+    )
+    return read(spark, sf, "customer", "c_custkey", fields.alias("attrs")).select("c_custkey", worst(metadata.provenance()).alias("severity"))
 
 
 @query("""WITH s AS (SELECT c_custkey, count(o_orderkey) FILTER (o_orderpriority = '1-URGENT') AS crit, count(o_orderkey) FILTER (o_orderpriority <> '1-URGENT') AS other,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,13 +21,15 @@ _PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and
-    set as the checkpoint folder of the context.
+    Only where that is unset and everything runs in one process on one machine (tests) a temporary folder is made and
+    set as the checkpoint folder of the context; on a cluster it would be another folder for each executor, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scanlake-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")

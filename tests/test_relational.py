@@ -42,14 +42,14 @@ def test_query_against_sql(spark, duck, name):
     assert order([tuple(plain(r[c]) for c in columns) for r in frame.toArrow().to_pylist()]) == want
 
 
-@pytest.mark.parametrize("name", ["file_pixel_features_all", "file_reid_scores_all", "file_nesting_all"])
+@pytest.mark.parametrize("name", ["file_pixel_features", "file_reid_scores", "file_nesting"])
 def test_file_operators_take_every_file(spark, name):
     """No file is left out before the operator, whatever its id."""
     ids = {str(r["c_custkey"]) for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()}
     assert {r["file_id"] for r in entry.queries()[name](spark, SF).collect()} == ids
 
 
-@pytest.mark.parametrize(("name", "n"), [("file_fidelity_all", 150), ("file_calibration_all", 90)])
+@pytest.mark.parametrize(("name", "n"), [("file_fidelity", 150), ("file_calibration", 90)])
 def test_file_counts_are_of_every_file(spark, name, n):
     assert sum(r["n"] for r in entry.queries()[name](spark, SF).collect()) == n
 
