@@ -53,3 +53,13 @@ def test_outcomes_and_formats(spark):
     assert (t["files_per_second"], t["mib_per_second"], round(t["p95"], 9)) == (1.0, 2.0, 1.45)
     pairs = spark.createDataFrame([((45, 45, 0, 0, 0), (0, 0, 0, 0, 0), True, True)], "before struct<score: int, struct_pts: int, text_pts: int, burned_pts: int, face_pts: int>, after struct<score: int, struct_pts: int, text_pts: int, burned_pts: int, face_pts: int>, same_pixels boolean, changed boolean")
     assert reports.before_after(pairs).first()["before_score"] == 45.0
+
+
+def test_actions_and_first_dangerous_files(spark):
+    from scanlake import findings
+
+    rows = spark.createDataFrame([("disarmed",), (None,), (None,), ("clean",)], "action string")
+    assert {r["action"]: r["n"] for r in findings.action_distribution(rows).collect()} == {"disarmed": 1, "scanned": 2, "clean": 1}
+    found = "findings array<struct<check: string, severity: string, message: string, details: string>>, summary struct<overall: string>"
+    reports_ = spark.createDataFrame([(f"f{9 - i}", [("a", "fail" if i % 2 else "pass", "", None), ("a", "critical" if i % 2 else "warn", "", None)], ("X",)) for i in range(8)], "file_id string, " + found)
+    assert [(r["file_id"], r["checks"]) for r in findings.first_dangerous(reports_, most=3).collect()] == [("f2", ["a"]), ("f4", ["a"]), ("f6", ["a"])]
