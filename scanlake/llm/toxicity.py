@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Container, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,6 +53,8 @@ LONG = 40
 _ADDRESS = frozenset("you your yours yourself u ur du dich dir ihr tu te toi vous tú usted vosotros".split())
 #: Residual correlation from which voters share their weight.
 CORRELATED = 0.3
+#: Words whose entries a ``matcher`` remembers.
+REMEMBERED = 300_000
 _WORD = re.compile(r"\w+")
 _PATTERN = re.compile("|".join(PATTERNS))
 
@@ -62,6 +64,25 @@ def terms(word: str) -> list[str]:
     return ["=" + word, *[word[:k] + "~" for k in PREFIXES if len(word) >= k]]
 
 
+def matcher(entries: Container[str]) -> Callable[[Iterable[str]], set[str]]:
+    """What of ``entries`` words match; each word's own are remembered, for at most ``REMEMBERED`` words."""
+    known: dict[str, tuple[str, ...]] = {}
+
+    def matched(words: Iterable[str]) -> set[str]:
+        hits: set[str] = set()
+        for w in words:
+            got = known.get(w)
+            if got is None:
+                got = known[w] = tuple(t for t in terms(w) if t in entries)
+            if got:
+                hits.update(got)
+        if len(known) > REMEMBERED:
+            known.clear()
+        return hits
+
+    return matched
+
+
 def text_words(text: str | None) -> set[str]:
     """Distinct lower-case words of a whole text."""
     return set(_WORD.findall((text or "").lower()))
@@ -87,15 +108,17 @@ def mine(texts: list[str | None], toxic: np.ndarray, given: list[str] = (), supp
                 inside.update({t for w in ws for t in terms(w)})
     inside = {t: n for t, n in inside.items() if n >= support}
     outside: Counter = Counter()
+    matched = matcher(inside)
     for i in unlike:
         if not toxic[i]:
-            outside.update({t for w in text_words(texts[i]) for t in terms(w) if t in inside})
+            outside.update(matched(text_words(texts[i])))
     good = {t for t, n in inside.items() if n / (n + outside[t] + 0.3) >= precision}
     having: dict[str, list[int]] = {t: [] for t in good}
     covered = set()
+    matched = matcher(good | set(given))
     for i in unlike:
         if toxic[i]:
-            own = {t for w in text_words(texts[i]) for t in terms(w)}
+            own = matched(text_words(texts[i]))
             covered |= {i} if own & set(given) else set()
             for t in own & good:
                 having[t].append(i)
@@ -186,10 +209,10 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
     index = {t: i for i, t in enumerate(entries)}
     n, calm = len(entries), friendly(texts, y)
     votes = np.zeros((len(texts), n + 1 + AGAINST), np.float32)
+    matched = matcher(index)
     for i, text in enumerate(texts):
         words = text_words(text)
-        hits = {t for w in words for t in terms(w)} & index.keys()
-        votes[i, [index[t] for t in hits]] = 1
+        votes[i, [index[t] for t in matched(words)]] = 1
         votes[i, n] = bool(_PATTERN.search((text or "").lower()))
         votes[i, n + 1 :] = [*[bool(words & f) for f in calm], len(words) >= LONG and not words & _ADDRESS, not votes[i, : n + 1].any()]
     post, _, _ = label_model(votes)
@@ -216,20 +239,11 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries, known = model.entries, {}
+        matched = matcher(model.entries)
         for b in batches:
             out = []
             for text in b.column(2).to_pylist():
-                hits: set[str] = set()
-                for w in text_words(text):
-                    got = known.get(w)
-                    if got is None:
-                        got = known[w] = tuple(t for t in terms(w) if t in entries)
-                    if got:
-                        hits.update(got)
-                if len(known) > 300_000:
-                    known.clear()
-                out.append(model.score(hits, bool(text and _PATTERN.search(text.lower()))))
+                out.append(model.score(matched(text_words(text)), bool(text and _PATTERN.search(text.lower()))))
             got = np.array(out, float)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
