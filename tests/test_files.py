@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from scanlake.dims import EXPLICIT_LE, MAX_ELEMENTS
 from scanlake.findings import worst
-from scanlake.operators import disarm, pixels
+from scanlake.operators import corpus, disarm, pixels
 from scanlake.plans import scan as plans
 from scanlake.sources import dicom, fixtures, walker, writer
 
@@ -297,3 +297,35 @@ def test_stream(spark, folder, tmp_path):
         scan_stream(spark, folder, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out"))
     assert rows.count() == rows.select("sha256").distinct().count() == len({x.data for x in fixtures.all_fixtures()})
+
+
+def broadcast_sides(frame):
+    """What stands below each broadcast of a plan."""
+    lines = frame._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    ends = lambda i: next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+    return ["\n".join(lines[i : ends(i)]) for i, x in enumerate(lines) if "BroadcastExchange" in x]
+
+
+def test_calibration_broadcasts_no_values(spark):
+    """Files are measured once, and however small Spark takes the table to be, only aggregates go through the driver."""
+    rows = [(f"f{i}", f"f{i}", 1, fixtures.plain(pixels=fixtures.slice_pixels(seed=i))) for i in range(4)]
+    frame = spark.createDataFrame(rows, "file_id string, filename string, file_size long, content binary")
+    base = pixels.calibrate(dicom.parsed(frame, measure=pixels.Measure(marks=False)))
+    assert all("Aggregate" in side for side in broadcast_sides(base))
+    assert "MapInArrow" not in base._jdf.queryExecution().executedPlan().toString()
+    assert {r["n"] for r in base.collect()} == {4}
+
+
+def test_quantiles_of_large_small_and_nameless_groups(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "SKETCH", 100)  # groups of 200 are large ones
+    rng = np.random.default_rng(3)
+    values = {("a", "x"): rng.normal(size=5000), ("a", "y"): rng.integers(0, 4, 3000).astype(float), ("b", "x"): rng.normal(size=199), (None, "x"): rng.normal(size=700), ("c", "x"): np.array([2.5])}
+    rows = spark.createDataFrame([(*k, float(x)) for k, xs in values.items() for x in xs], "m string, f string, value double")
+    asked = {"median": 0.5, "p5": 0.05, "p95": 0.95, "least": 0.0, "most": 1.0}
+    found = corpus.quantiles(rows, ["m", "f"], "value", asked)
+    assert (sides := broadcast_sides(found)) and all("Aggregate" in side for side in sides)
+    got = {(r["m"], r["f"]): [r[k] for k in asked] for r in found.collect()}
+    assert got.keys() == values.keys()
+    for k, xs in values.items():
+        assert np.allclose(got[k], np.quantile(xs, list(asked.values())), rtol=0, atol=1e-12), k
