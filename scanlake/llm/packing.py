@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,10 +40,10 @@ def encoded(docs: DataFrame, vocab: str, end_id: int = END_ID, id_col: str = "do
         encoder, part, run = WordEncoder.of(vocab), TaskContext.get().partitionId(), 0
         end = np.array([end_id], encoder.dtype).tobytes()
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                piece = b.slice(i, 512)
+            for i in range(0, b.num_rows, 1024):
+                piece = b.slice(i, 1024)
                 ids, runs, ns = [], [], []
-                for got in encoder.encode([x or "" for x in piece.column(1).to_pylist()]):
+                for got in encoder.encode(pc.fill_null(piece.column(1), "")):
                     runs.append(run)
                     ns.append(len(got) + 1)
                     run += len(got) + 1

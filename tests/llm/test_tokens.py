@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import zlib
 
 import numpy as np
@@ -73,6 +74,51 @@ def test_any_mixture_of_words_and_added_tokens(parts):
     assert ids.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "'", "S", "t", "re", "LL", "'m", "1", "É", "ß", "ÿ", "×", "ª", "µ", "²", "İ", "Σ", "\u0301", " ", "\xa0", "\n", "\x1c", "\x1e", ".", ",!", "</w>", "<|endoftext|>"]), max_size=14))
+def test_any_mixture_of_parts(parts):
+    text = "".join(parts)
+    (ids,) = wordcache.WordEncoder.of(public_tokenizers.path("word_bpe_49k.json")).encode([text])
+    assert ids.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+class Counted:
+    """A tokenizer that keeps what it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.given = inner, []
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += [w for t in texts for w in t.split()]
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_words_share_their_parts():
+    """Capitals and punctuation cost no encoding of their own, and plain words none of the normaliser and pattern."""
+    stems = [a + b for a in ("anth", "überö", "tion") for b in ("ou", "er", "ée", "st")]
+    texts = [" ".join(f.format(w) for w in stems for f in ("{}", "({}),", "{}.", "{}'s")) for w in stems] + [" ".join(w.title() + "! " + w.upper() for w in stems)]
+    wordcache.WordEncoder._made.clear()
+    coder = wordcache.WordEncoder.of(public_tokenizers.path("word_bpe_49k.json"))
+    wordcache.WordEncoder._made.clear()
+    whole, bare = Counted(coder.tokenizer), Counted(getattr(coder, "bare", None))
+    coder.tokenizer, coder.bare = whole, bare
+    assert [x.tolist() for x in coder.encode(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert whole.given == [] and sorted(bare.given) == sorted({*stems, "(", "),", ".", "'s", "!"})
+
+
+def test_other_rules_are_left_to_the_library(tmp_path):
+    """A vocabulary that cuts words otherwise gets its own ids."""
+    rules = json.loads(LIBRARY.to_str())
+    rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[^\s]+"
+    (tmp_path / "other.json").write_text(json.dumps(rules))
+    text = "It's here, (there). Été"
+    (ids,) = wordcache.WordEncoder.of(str(tmp_path / "other.json")).encode([text])
+    assert ids.tolist() == Tokenizer.from_file(str(tmp_path / "other.json")).encode(text, add_special_tokens=False).ids
+
+
 def check(pieces, texts, size):
     ids = {i: [*LIBRARY.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
     got, seqs = {}, {}
